@@ -10,8 +10,8 @@ from folioflux.plans import ledger_queries as ledger
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": ledger.p1_found, "p1_coverage": ledger.p1_coverage}
+    return {"p1_found": ledger.p1_found, "p1_coverage": ledger.p1_coverage, "p3_found": ledger.p3_found, "p3_hierarchy": ledger.p3_hierarchy, "p3_descendants": ledger.p3_descendants}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**ledger.P1_SQL}
+    return {**ledger.P1_SQL, **ledger.P3_SQL}
