@@ -63,7 +63,7 @@ _HELD = """held AS (SELECT * FROM (SELECT regexp_replace(lower(trace_id),'[^0-9a
   regexp_replace(lower(parent_span_id),'[^0-9a-f]','','g') parent, role, start_offset_ns, end_offset_ns,
   row_number() OVER (PARTITION BY regexp_replace(lower(trace_id),'[^0-9a-f]','','g'), regexp_replace(lower(span_id),'[^0-9a-f]','','g') ORDER BY ledger_pos DESC) rn FROM spans) WHERE rn = 1)"""
 _P1 = f"""WITH {_HELD},
-v AS (SELECT trace_id, lower(regexp_replace(role,'^\\s+|\\s+$','','g')) role, start_offset_ns s, end_offset_ns e FROM held WHERE end_offset_ns > start_offset_ns AND trim(regexp_replace(role,'\\s','','g')) <> ''),
+v AS (SELECT DISTINCT trace_id, lower(regexp_replace(role,'^\\s+|\\s+$','','g')) role, start_offset_ns s, end_offset_ns e FROM held WHERE end_offset_ns > start_offset_ns AND trim(regexp_replace(role,'\\s','','g')) <> ''),
 m AS (SELECT *, max(e) OVER (PARTITION BY trace_id, role ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pm FROM v),
 g AS (SELECT *, sum(CASE WHEN pm IS NULL OR s > pm THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, role ORDER BY s, e ROWS UNBOUNDED PRECEDING) k FROM m),
 found AS (SELECT trace_id, role, 'period' kind, min(s) start_offset_ns, max(e) end_offset_ns FROM g GROUP BY trace_id, role, k
