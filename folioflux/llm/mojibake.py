@@ -111,9 +111,13 @@ _ESCAPE = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d?);|\\u[0-
 _BYTES = re.compile(r"\\u([0-9a-fA-F]{4})")
 
 
+def _unescape(text: str) -> str:
+    return _BYTES.sub(lambda m: chr(int(m.group(1), 16)), html.unescape(text))
+
+
 def _edges(text: str, single: bool) -> Iterator[tuple[str, str]]:
     if _ESCAPE.search(text):
-        yield "unescape", _BYTES.sub(lambda m: chr(int(m.group(1), 16)), html.unescape(text))
+        yield "unescape", _unescape(text)
     if text.isascii():
         return
     for name in MISREAD:
@@ -133,7 +137,7 @@ def _edges(text: str, single: bool) -> Iterator[tuple[str, str]]:
 def search(text: str, single: bool = False) -> tuple[str, tuple[str, ...], float]:
     """(cheapest reachable text, edges to it, cost gained). ``single`` allows one edge between
     single-byte encodings, taken first."""
-    start = cost(text) + (1.0 if _ESCAPE.search(text) else 0)
+    start = cost(text) + 2.0 * len([m for m in _ESCAPE.findall(text) if not _unescape(m).isascii()])
     heap, seen, n = [(start, 0, text, ())], {text}, 0
     best = (start, text, ())
     while heap:
@@ -190,7 +194,8 @@ def repair(text: str) -> tuple[str | None, str]:
     for i in odd:
         t = parts[i]
         u, way, g = _token(t)
-        if way and g >= TOKEN_GAIN and cost(u) <= 0.9 * len(u):
+        # four or more bytes that happen to be valid UTF-8 are no accident, however little is gained
+        if way and (g >= TOKEN_GAIN or g > 0.2 and sum(c > "\x7f" for c in t) >= 4) and cost(u) <= 0.9 * len(u):
             parts[i] = u
             found = True
         elif cost(t) >= 0.9:
