@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import lookalikes, mojibake
+from folioflux.llm import contamination, lookalikes, mojibake
 from folioflux.llm.pages import all_pages, inspection_pages
 
 PAGE = ["origin", "doc_sha256", "page_number"]
@@ -31,8 +31,19 @@ def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.restore(inspection_pages(spark, sf), "text", PAGE[1:]).distinct()
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.leaks(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet"), "doc_id", "text", "item_id", "text")
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Per test item the documents it leaked into; items that did not leak have none."""
+    items = spark.read.parquet(f"{sf}/eval_items.parquet").select("item_id", "task", "split")
+    n = p6_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("n"))
+    return items.join(n, "item_id", "left").select("item_id", "task", "split", F.coalesce("n", F.lit(0)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored}
+    return {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items}
 
 
 def oracle_sql() -> dict[str, str]:
