@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import contamination, lookalikes, mojibake
+from folioflux.llm import contamination, lookalikes, mixture, mojibake
 from folioflux.llm.pages import all_pages, inspection_pages
 
 PAGE = ["origin", "doc_sha256", "page_number"]
@@ -42,8 +42,29 @@ def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(n, "item_id", "left").select("item_id", "task", "split", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
+def _mixture(spark: SparkSession, sf: str) -> mixture.Mixture:
+    import public_tokenizers as vocabularies
+
+    return mixture.Mixture(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/mix_targets.parquet"), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen records with their repeats."""
+    return _mixture(spark, sf).chosen()
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixture(spark, sf).shares()
+
+
+def p7_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture itself, block by block and shard by shard."""
+    return _mixture(spark, sf).slots
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items}
+    return {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots}
 
 
 def oracle_sql() -> dict[str, str]:
