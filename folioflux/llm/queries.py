@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import contamination, lookalikes, mixture, mojibake
+from folioflux.llm import contamination, lookalikes, mixture, mojibake, toxicity
 from folioflux.llm.pages import all_pages, inspection_pages
 
 PAGE = ["origin", "doc_sha256", "page_number"]
@@ -63,8 +63,30 @@ def p7_slots(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).slots
 
 
+def _scores(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(toxicity.labelled(docs, spark.read.parquet(f"{sf}/content_labels.parquet")))
+    return toxicity.scores(docs, model, "doc_id", "text", list(keep))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.filter(F.array(*[F.when(F.col(k) > 0, F.lit(k)) for k in toxicity.KINDS]), lambda x: x.isNotNull())
+    return _scores(spark, sf).select("doc_id", F.explode(kinds).alias("kind"))
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of every document for each kind."""
+    return _scores(spark, sf)
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Rate of each kind per source, sources whatever their spelling."""
+    s = _scores(spark, sf, "source").withColumn("source", F.coalesce(mixture.normal_source("source"), F.lit("unknown")))
+    return s.groupBy("source").agg(F.count("*").alias("documents"), *[F.avg((F.col(k) > 0).cast("double")).alias(f"{k}_rate") for k in toxicity.KINDS])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots}
+    return {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
