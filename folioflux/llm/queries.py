@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflux.llm import contamination, lookalikes, mixture, mojibake, toxicity
+from folioflux.llm import contamination, lookalikes, mixture, mojibake, scans, toxicity
 from folioflux.llm.pages import all_pages, inspection_pages
 
 PAGE = ["origin", "doc_sha256", "page_number"]
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.Scan(all_pages(spark, sf)).cases()
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.faults(all_pages(spark, sf), "text", PAGE).distinct()
 
@@ -65,7 +69,7 @@ def p7_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = toxicity.train(toxicity.labelled(docs, spark.read.parquet(f"{sf}/content_labels.parquet")))
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/content_labels.parquet"))
     return toxicity.scores(docs, model, "doc_id", "text", list(keep))
 
 
@@ -86,7 +90,7 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:

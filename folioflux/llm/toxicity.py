@@ -308,8 +308,10 @@ class Scorer:
         return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> list[tuple[str, list[str]]]:
-    """The bounded labelled sample: per document the kinds flagged by at least half of its raters."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Trains on the bounded labelled sample: per document the kinds flagged by at least half of its
+    raters. The training runs in one task; the driver gets the landmarks and their weights alone.
+    Labels of unknown documents and null ids are ignored; without labels the seeds decide."""
     one = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if((F.col("flagged") == 1) & (F.col("kind") == k)).alias(k) for k in KINDS])
     kinds = F.filter(F.array(*[F.when(F.col(k) * 2 >= F.col("n"), F.lit(k)) for k in KINDS]), lambda x: x.isNotNull())
     one = one.select("doc_id", kinds.alias("kinds")).withColumn("h", F.xxhash64("doc_id"))
@@ -319,8 +321,15 @@ def labelled(docs: DataFrame, labels: DataFrame) -> list[tuple[str, list[str]]]:
     for p in parts[1:]:
         pick = pick.unionByName(p)
     pick = pick.select("doc_id", "kinds").distinct()
-    rows = docs.select("doc_id", "text").filter("text is not null").join(pick, "doc_id").collect()
-    return [(r.text, list(r.kinds)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    rows = docs.select("doc_id", "text").filter("text is not null").join(pick, "doc_id").select("doc_id", "text", "kinds")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, t, list(k)) for b in batches for i, t, k in zip(*(c.to_pylist() for c in b.columns)))
+        m = train([(t, k) for _, t, k in got])
+        yield pa.RecordBatch.from_arrays([pa.array([m.landmarks]), pa.array([m.weights.ravel().tolist()]), pa.array([m.bias.tolist()])], ["landmarks", "weights", "bias"])
+
+    m = rows.repartition(1).mapInArrow(run, "landmarks array<string>, weights array<double>, bias array<double>").first()
+    return Model(list(m.landmarks), np.array(m.weights).reshape(len(KINDS), -1), np.array(m.bias))
 
 
 _SCORERS: dict[int, Scorer] = {}

@@ -62,7 +62,7 @@ def test_held_out_accuracy(spark):
     labels = [(i, f"r{k}", int(bad ^ (r.random() < 0.08)), "abuse" if bad else None) for i, _, bad in docs for k in range(r.choice([1, 3]))] + [(None, None, None, None), (9999, "r", 1, "abuse")]
     schema = "doc_id long, text string, source string, abuse string"
     d = spark.createDataFrame([(i, x, "s", None) for i, x, _ in docs] + [(5000, None, None, None), (5001, "", None, None)], schema)
-    model = t.train(t.labelled(d, spark.createDataFrame(labels, "doc_id long, rater string, flagged int, kind string")))
+    model = t.fit(d, spark.createDataFrame(labels, "doc_id long, rater string, flagged int, kind string"))
     h = spark.createDataFrame([(i, x, "s", None) for i, x, _ in held] + [(5000, None, None, None), (5001, "", None, None), (5002, "shut your mouth you id*ot " * 9000, None, None)], schema)
     got = {x.doc_id: x for x in t.scores(h, model, "doc_id", "text", ["source"]).collect()}
     right = sum((got[i].abuse > 0) == bad for i, _, bad in held)
