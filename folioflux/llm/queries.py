@@ -17,6 +17,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.Scan(all_pages(spark, sf)).cases()
 
 
+def p2_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as continuous paragraphs."""
+    return scans.Scan(all_pages(spark, sf)).repaired()
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.faults(all_pages(spark, sf), "text", PAGE).distinct()
 
@@ -90,7 +95,7 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,12 +9,11 @@ keeps its hyphen or was no break, and which frequent word a rare one was read fr
 confusions. No page text is shuffled and no document is gathered in one task.
 """
 
-from __future__ import annotations
-
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +49,21 @@ _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _BROKEN = re.compile(r"([^\W\d_][^\W_]*(?:-[^\W_]+)*)[-¬‐­]\s*$")
 _STARTS = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
-_NUMBER = re.compile(r"(?:[-–—\[(|.~*\s]*)(?:p(?:age|\.|g\.)?\s*)?(?:[0-9lIOoSB|]{1,5}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOoSB|]{1,5})?(?:[-–—\])|~*\s]*)", re.IGNORECASE)
-_MASK = re.compile(r"\d+")
+_NUMBER = re.compile(r"(?:[-–—\[(|.~*\s]*)(?:p(?:age|\.|g\.)?\s*)?([0-9lIOoSB|]{1,5}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOoSB|]{1,5})?(?:[-–—\])|~*\s]*)", re.IGNORECASE)
+_ROMAN = re.compile(r"(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
+_MASK = re.compile(r"(?<![^\W_])(?:[0-9lIOoSB|]*[0-9][0-9lIOoSB|]*|[lIO|])(?![^\W_])")
+_PAGED = re.compile(r"[0-9lIOSB|]{1,5}\s{2,}\S.*|.*\S\s{2,}[0-9lIOSB|]{1,5}")
 #: Words that follow a hyphen left hanging (pre- and post-war).
 HANGING = {"and", "or", "to", "und", "oder", "bis", "et", "ou", "y", "e", "o", "i", "lub", "и", "или", "και"}
 
 
 def is_number(line: str) -> bool:
     """A line of nothing but a page number, in whatever form."""
-    return bool(_NUMBER.fullmatch(line))
+    m = _NUMBER.fullmatch(line)
+    if not m:
+        return False
+    n = m.group(1).lower()
+    return not n.isalpha() or n in ("l", "o") or bool(_ROMAN.fullmatch(n) or _ROMAN.fullmatch(n.replace("l", "i")))
 
 
 def key(line: str) -> str:
@@ -67,7 +72,10 @@ def key(line: str) -> str:
         return ""
     s = re.sub(r"\s+", " ", _MASK.sub(" ", line)).strip().lower()
     letters = sum(c.isalpha() for c in s)
-    return s.translate(STROKES) if letters >= 5 else ""
+    if letters < 5:
+        return ""
+    # a number set off by wide space is the page's: such a line needs no second page to be known
+    return ("#" if _PAGED.fullmatch(line) else "") + s.translate(STROKES)
 
 
 def lines(text: str) -> list[str]:
@@ -166,14 +174,17 @@ class Scan:
         short = F.length("line") <= 24
         e = e.withColumn("number", F.coalesce(F.when(short & F.col("line").rlike(r"(?i)[0-9ivxlcdmosb|]\W*$"), number("line")), F.lit(False)))
         doc = ["origin", "doc_sha256"]
+        e = e.withColumn("paged", F.col("key").startswith("#")).withColumn("key", F.ltrim("key", F.lit("#")))
         per_page = e.filter("key <> '' and not number").groupBy(*doc, "key", "page_number").agg(F.lit(1).alias("one"))
         keys = per_page.groupBy(*doc, "key").agg(F.count("*").alias("n"))
         sizes = e.groupBy(*doc, "page_number").agg(F.lit(1).alias("one")).groupBy(*doc).agg(F.count("*").alias("pages"))
         # A line form of many documents (a stamp, say) is a header where it stands alone, too.
         spread = keys.groupBy("key").agg(F.count("*").alias("docs"), F.sum((F.col("n") > 1).cast("int")).alias("running"))
         runs = keys.join(sizes, doc).join(spread, "key").filter(((F.col("n") > 1) & (F.col("n") >= RUNS * F.col("pages"))) | ((F.col("running") >= 3) & (F.col("running") * 4 >= F.col("docs"))))
+        # A line at the edges of many documents that runs through few is a common sentence.
+        runs = runs.filter((F.col("docs") < 3) | (F.col("running") * 2 > F.col("docs")) | (F.col("n") * 2 > F.col("pages")))
         out = e.join(runs.select(*doc, "key", F.lit(True).alias("runs")), [*doc, "key"], "left")
-        kind = F.when(F.col("number"), "pageno").when(F.col("runs"), "header")
+        kind = F.when(F.col("number"), "pageno").when(F.col("runs") | F.col("paged"), "header")
         out = out.select(*self.PAGE, "at", "line", kind.alias("kind"))
         # Header and number stand outside the body: the line is at the very edge or all beyond it are such lines.
         by = out.groupBy(*self.PAGE).agg(F.collect_set(F.when(F.col("kind").isNull(), F.col("at"))).alias("body"))
@@ -211,7 +222,7 @@ class Scan:
         return pairs.groupBy("form").agg(best.alias("word"))
 
     def breaks(self, edges: DataFrame) -> DataFrame:
-        """(page, at, left, right) of words broken over a line end within the body, or from the end of
+        """(page, at, left, right, over) of words broken over a line end within the body, or from the end of
         a page's body to the start of the next page's."""
         inside = self.found.filter("tag = 'b'").select(*self.PAGE, "at", F.col("a").alias("left"), F.col("b").alias("right")).distinct()
         # Of each page the first and the last line of its body, from at most six rows.
@@ -224,11 +235,12 @@ class Scan:
         over = ends.join(starts, self.PAGE)
         # A break found inside at the last line of the body runs into a footer: it goes over the page.
         mine = inside.join(body.select(*self.PAGE, F.col("last.at").alias("end"), "off"), self.PAGE, "left")
-        inside = mine.filter(F.coalesce((F.col("at") != F.col("end")) & ~F.array_contains("off", F.col("at")), F.lit(True))).select(*self.PAGE, "at", "left", "right")
-        return inside.unionByName(over.select(*self.PAGE, "at", "left", "right"))
+        inside = mine.filter(F.coalesce((F.col("at") != F.col("end")) & ~F.array_contains("off", F.col("at")), F.lit(True))).select(*self.PAGE, "at", "left", "right", F.lit(False).alias("over"))
+        return inside.unionByName(over.select(*self.PAGE, "at", "left", "right", F.lit(True).alias("over")))
 
     def joined(self, breaks: DataFrame) -> DataFrame:
-        """Breaks with ``item``, the whole word in lower case; hanging hyphens are left out."""
+        """Breaks with ``item``, the whole word in lower case. Hanging hyphens are left out, and breaks
+        over a page end whose whole word the corpus does not know: what follows may be no body."""
         b = breaks.withColumn("left", F.lower("left")).withColumn("right", F.lower("right"))
         pair = b.select("left", "right").distinct().filter(~F.col("right").isin(*HANGING))
         whole = materialise(pair.select("left", "right", F.concat("left", "right").alias("j"), F.concat_ws("-", "left", "right").alias("h")))
@@ -236,7 +248,8 @@ class Scan:
         forms = self.misread(whole.select(F.col("j").alias("word"), F.lit(0).cast("long").alias("n")).distinct())
         w = whole.join(n.select(F.col("word").alias("j"), F.col("n").alias("nj")), "j", "left").join(n.select(F.col("word").alias("h"), F.col("n").alias("nh")), "h", "left").join(forms.select(F.col("form").alias("j"), F.col("word").alias("fixed")), "j", "left").na.fill(0, ["nj", "nh"])
         item = F.when(F.col("nh") > F.col("nj"), F.col("h")).otherwise(F.coalesce("fixed", "j"))
-        return b.join(w.select("left", "right", item.alias("item")), ["left", "right"])
+        known = (F.col("nh") > 0) | (F.col("nj") > 0) | F.col("fixed").isNotNull()
+        return b.join(w.select("left", "right", item.alias("item"), known.alias("known")), ["left", "right"]).filter("known or not over").drop("known")
 
     def misread_words(self, edges: DataFrame) -> DataFrame:
         """(page, item, form): words of the body read wrongly."""
@@ -266,6 +279,26 @@ class Scan:
             hits = self.pages.mapInArrow(every, "origin string, doc_sha256 string, page_number long, at int, form string").join(forms.select("form", F.col("word").alias("item")), "form")
         return hits.join(off, [*self.PAGE, "at"], "left_anti").select(*self.PAGE, "form", "item").distinct()
 
+    def repaired(self) -> DataFrame:
+        """(origin, doc_sha256, page_number, text) of every page as continuous readable paragraphs.
+        Here page texts are joined with what is to be done on them, by the unique page."""
+        edges = materialise(self.edges())
+        off = edges.filter("kind is not null").groupBy(*self.PAGE).agg(F.collect_set("at").alias("off"))
+        breaks = materialise(self.breaks(edges))
+        joins = self.joined(breaks).groupBy(*self.PAGE).agg(F.collect_set(F.struct("at", "left", "right", "item")).alias("joins"))
+        over = self.joined(breaks.filter("over")).select("origin", "doc_sha256", (F.col("page_number") + 1).alias("page_number"), F.col("right").alias("lead")).groupBy(*self.PAGE).agg(F.max("lead").alias("lead"))
+        fixes = self.misread_words(edges).groupBy(*self.PAGE).agg(F.map_from_entries(F.collect_set(F.struct("form", "item"))).alias("fixes"))
+        pages = self.pages.withColumn("h", F.xxhash64("text")).dropDuplicates([*self.PAGE, "h"]).drop("h")
+        all_ = pages.join(off, self.PAGE, "left").join(joins, self.PAGE, "left").join(fixes, self.PAGE, "left").join(over, self.PAGE, "left")
+
+        def run(text: pd.Series, off: pd.Series, joins: pd.Series, fixes: pd.Series, lead: pd.Series) -> pd.Series:
+            got = []
+            for t, o, j, f, x in zip(text, off, joins, fixes, lead):
+                got.append(rebuild(t, [] if o is None else list(o), [] if j is None else [(q["at"], q["left"], q["right"], q["item"]) for q in j], {} if f is None else dict(f), x))
+            return pd.Series(got)
+
+        return all_.select(*self.PAGE, F.pandas_udf(run, "string")("text", "off", "joins", "fixes", "lead").alias("text"))
+
     def cases(self) -> DataFrame:
         """(origin, doc_sha256, page_number, kind, item) of all four kinds."""
         edges = materialise(self.edges())
@@ -275,7 +308,51 @@ class Scan:
         return lines_.unionByName(words_).unionByName(wrong).distinct()
 
 
-def page_words(text: str, forms) -> set[tuple[int, str]]:
+def rebuild(text: str, off: list[int], joins: list[tuple[int, str, str, str]], fixes: dict[str, str], lead: str | None) -> str:
+    """The page as paragraphs: lines at the places ``off`` go, broken words are written whole where
+    they start, misread words are written as meant, and ``lead``, the end of a word that began on the
+    page before, goes."""
+    whole = {(a, b.lower(), c.lower()): w for a, b, c, w in joins}
+    ls = [x.strip() for x in _LINES.split(text)]
+    full = [i for i, x in enumerate(ls) if x]
+    n = len(full)
+    place = {i: (k if k < EDGE else (k - n if n - k <= EDGE else EDGE)) for k, i in enumerate(full)}
+    out: list[list[str]] = [[]]
+    cut = lead
+    for i, x in enumerate(ls):
+        if not x:
+            out.append([])
+            continue
+        if place[i] in off:
+            continue
+        if cut and x.lower().startswith(cut.lower()):
+            x = x[len(cut) :].lstrip()
+        cut = None
+        m = _BROKEN.search(x)
+        if m:
+            word = m.group(1)
+            for (a, b, c), w in whole.items():
+                if a == place[i] and b == word.lower():
+                    x = x[: m.start(1)] + (w if word[0].islower() else w[0].upper() + w[1:])
+                    cut = c
+                    break
+        if fixes:
+            x = _TOKEN.sub(lambda t: _like(t.group(), fixes.get(t.group().lower())), x)
+        if x:
+            # a word went on over an empty line: the paragraph does, too
+            if not out[-1] and len(out) > 1 and out[-2] and out[-2][-1].endswith("\0"):
+                out.pop()
+            out[-1].append(x + ("\0" if cut else ""))
+    return "\n\n".join(" ".join(p).replace("\0", "") for p in out if p)
+
+
+def _like(form: str, word: str | None) -> str:
+    if word is None:
+        return form
+    return word.upper() if sum(c.isupper() for c in form) > 1 else word[0].upper() + word[1:] if form[0].isupper() else word
+
+
+def page_words(text: str, forms: dict | None) -> set[tuple[int, str]]:
     """(place of the line, word) of the whole words of a page, of those in ``forms`` if given."""
     out = set()
     ls = lines(text)
