@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,7 @@ STROKES = str.maketrans({"m": "lll", "n": "ll", "u": "ll", "h": "ll", "b": "ll",
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _BROKEN = re.compile(r"([^\W\d_][^\W_]*(?:-[^\W_]+)*)[-¬‐­]\s*$")
+_SPLIT = re.compile(r"[\w-]*[-¬‐\xad][ \t]*[\r\n\x0b\x0c\x85\u2028\u2029]\s*[\w-]*|[\w-]*[-¬‐\xad]\s*$")
 _STARTS = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
 _NUMBER = re.compile(r"(?:[-–—\[(|.~*\s]*)(?:p(?:age|\.|g\.)?\s*)?([0-9lIOoSB|]{1,5}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOoSB|]{1,5})?(?:[-–—\])|~*\s]*)", re.IGNORECASE)
 _ROMAN = re.compile(r"(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
@@ -63,46 +65,50 @@ def is_number(line: str) -> bool:
     if not m:
         return False
     n = m.group(1).lower()
-    return not n.isalpha() or n in ("l", "o") or bool(_ROMAN.fullmatch(n) or _ROMAN.fullmatch(n.replace("l", "i")))
+    return not n.isalpha() or bool(re.fullmatch("[lIO]+", m.group(1))) or bool(_ROMAN.fullmatch(n) or _ROMAN.fullmatch(n.replace("l", "i")))
 
 
 def key(line: str) -> str:
     """The line with its numbers masked and confusable letters folded; "" for what is no header."""
     if line[-1] in ".!?,;:-¬‐" and not line.endswith(("Vol.", "No.")):
         return ""
-    s = re.sub(r"\s+", " ", _MASK.sub(" ", line)).strip().lower()
-    letters = sum(c.isalpha() for c in s)
-    if letters < 5:
-        return ""
-    # a number set off by wide space is the page's: such a line needs no second page to be known
-    return ("#" if _PAGED.fullmatch(line) else "") + s.translate(STROKES)
+    s = " ".join(_MASK.sub(" ", line).lower().split())
+    return s.translate(STROKES) if sum(map(str.isalpha, s)) >= 5 else ""
+
+
+def is_paged(line: str) -> bool:
+    """A number set off by wide space is the page's: such a header needs no second page to be known."""
+    return "  " in line and bool(_PAGED.fullmatch(line)) and key(line) != ""
 
 
 def lines(text: str) -> list[str]:
     return [x.strip() for x in _LINES.split(text) if x.strip()]
 
 
-def scan_page(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]], list[str]]:
-    """(edge lines by place, breaks within the page by place of the line, words not broken).
+def place(i: int, n: int) -> int:
+    """Place of line i of n: counted from 0 at the top, from -1 upwards at the bottom, EDGE between;
+    a line of a short page belongs to the upper edge."""
+    return i if i < EDGE else (i - n if n - i <= EDGE else EDGE)
+
 
-    Places count from 0 at the top, and from -1 upwards at the bottom for lines of the lower edge; a
-    line of a short page belongs to the upper edge."""
+def scan_page(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]]:
+    """(edge lines by place, breaks within the page by place of the line)."""
     ls = lines(text)
     n = len(ls)
-    place = lambda i: i if i < EDGE else (i - n if n - i <= EDGE else EDGE)
-    edges = [(place(i), ls[i]) for i in range(n) if i < EDGE or n - i <= EDGE]
-    breaks, words = [], []
+    edges = [(place(i, n), ls[i]) for i in (range(n) if n <= 2 * EDGE else (*range(EDGE), *range(n - EDGE, n)))]
+    breaks = []
     for i, x in enumerate(ls):
-        w = _TOKEN.findall(x)
-        m = _BROKEN.search(x) if x[-1] in "-¬‐­" else None
-        if i and ls[i - 1][-1] in "-¬‐­":
-            w = w[1:]
-        if m:
-            w = w[:-1]
-            if i + 1 < n and (q := _STARTS.match(ls[i + 1])):
-                breaks.append((place(i), m.group(1), q.group(1)))
-        words += w
-    return edges, breaks, words
+        if x[-1] in "-¬‐\xad" and i + 1 < n and (m := _BROKEN.search(x)) and (q := _STARTS.match(ls[i + 1])):
+            breaks.append((place(i, n), m.group(1), q.group(1)))
+    return edges, breaks
+
+
+def whole_words(text: str) -> list[str]:
+    """Words of a page in lower case, broken ones left out."""
+    low = text.lower()
+    if _SPLIT.search(low):
+        low = _SPLIT.sub(" ", low)
+    return _TOKEN.findall(low)
 
 
 def variants(word: str, errors: int = ERRORS) -> dict[str, int]:
@@ -126,9 +132,11 @@ class Scan:
     """What one scan of pages (origin, doc_sha256, page_number, text) tells about them.
 
     Repeated pages count once; null and empty pages hold nothing; pages with a null document or
-    number stand alone."""
+    number stand alone. Line forms and pages are told apart by 64-bit hashes where they are counted."""
 
     PAGE = ["origin", "doc_sha256", "page_number"]
+    _EDGES = "array<struct<at:int,line:string,k:bigint,s:bigint>>"
+    _BREAKS = "array<struct<at:int,left:string,right:string>>"
 
     def __init__(self, pages: DataFrame):
         self.pages = pages.select(*self.PAGE, "text").filter("text is not null and text <> ''")
@@ -138,62 +146,86 @@ class Scan:
 
             def flush() -> pa.RecordBatch:
                 k = len(words)
-                none = pa.nulls(k, pa.string())
-                out = pa.RecordBatch.from_arrays([pa.array(["w"] * k, pa.string()), none, none, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(list(words), pa.string()), none, pa.array(list(words.values()), pa.int64())], names)
+                out = pa.RecordBatch.from_arrays([pa.nulls(k, t) if i < 5 else pa.array(v, t) for i, (t, v) in enumerate(zip(types, (*[None] * 5, list(words), list(words.values()))))], names)
                 words.clear()
                 return out
 
             for b in batches:
-                rows: list[tuple] = []
-                for o, d, p, t in zip(*(c.to_pylist() for c in b.columns)):
-                    edges, breaks, ws = scan_page(t)
-                    words.update([w.lower() for w in ws])
-                    rows += [("e", o, d, p, at, x, key(x), None) for at, x in edges]
-                    rows += [("b", o, d, p, at, a, c, None) for at, a, c in breaks]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names) if rows else flush()
+                edges_, breaks_ = [], []
+                for o, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
+                    edges, breaks = scan_page(t)
+                    words.update(whole_words(t))
+                    row = []
+                    for at, x in edges:
+                        # 0 stands for no header form, 1 for a page number
+                        f = "" if is_number(x) else key(x)
+                        row.append({"at": at, "line": x, "k": _hash(f"{o}\0{d}\0{f}") if f else 0, "s": _hash(f) if f else int(is_number(x))})
+                    edges_.append(row)
+                    breaks_.append([{"at": at, "left": x, "right": y} for at, x, y in breaks])
+                n = len(edges_)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(edges_, types[3]), pa.array(breaks_, types[4]), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
                 if len(words) > 200_000:
                     yield flush()
             yield flush()
 
-        names = ["tag", *self.PAGE, "at", "a", "b", "n"]
-        s = pa.string()
-        types = [s, s, s, pa.int64(), pa.int32(), s, s, pa.int64()]
-        self.found = materialise(self.pages.mapInArrow(run, "tag string, origin string, doc_sha256 string, page_number long, at int, a string, b string, n long"))
+        names = [*self.PAGE, "edges", "breaks", "word", "n"]
+        s, i = pa.string(), pa.int64()
+        types = [s, s, i, pa.list_(pa.struct([("at", pa.int32()), ("line", s), ("k", i), ("s", i)])), pa.list_(pa.struct([("at", pa.int32()), ("left", s), ("right", s)])), s, i]
+        self.found = materialise(self.pages.mapInArrow(run, f"origin string, doc_sha256 string, page_number long, edges {self._EDGES}, breaks {self._BREAKS}, word string, n long"))
         self._words: DataFrame | None = None
 
     def words(self) -> DataFrame:
         """(word, n) of the corpus, broken words left out."""
         if self._words is None:
-            self._words = materialise(self.found.filter("tag = 'w'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")))
+            self._words = materialise(self.found.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
         return self._words
 
-    def edges(self) -> DataFrame:
-        """Edge lines with what they are: ``header``, ``pageno`` or null (body)."""
-        e = self.found.filter("tag = 'e'").select(*self.PAGE, "at", F.col("a").alias("line"), F.col("b").alias("key")).distinct()
-        number = F.udf(is_number, "boolean")
-        short = F.length("line") <= 24
-        e = e.withColumn("number", F.coalesce(F.when(short & F.col("line").rlike(r"(?i)[0-9ivxlcdmosb|]\W*$"), number("line")), F.lit(False)))
-        doc = ["origin", "doc_sha256"]
-        e = e.withColumn("paged", F.col("key").startswith("#")).withColumn("key", F.ltrim("key", F.lit("#")))
-        per_page = e.filter("key <> '' and not number").groupBy(*doc, "key", "page_number").agg(F.lit(1).alias("one"))
-        keys = per_page.groupBy(*doc, "key").agg(F.count("*").alias("n"))
-        sizes = e.groupBy(*doc, "page_number").agg(F.lit(1).alias("one")).groupBy(*doc).agg(F.count("*").alias("pages"))
-        # A line form of many documents (a stamp, say) is a header where it stands alone, too.
-        spread = keys.groupBy("key").agg(F.count("*").alias("docs"), F.sum((F.col("n") > 1).cast("int")).alias("running"))
-        runs = keys.join(sizes, doc).join(spread, "key").filter(((F.col("n") > 1) & (F.col("n") >= RUNS * F.col("pages"))) | ((F.col("running") >= 3) & (F.col("running") * 4 >= F.col("docs"))))
-        # A line at the edges of many documents that runs through few is a common sentence.
-        runs = runs.filter((F.col("docs") < 3) | (F.col("running") * 2 > F.col("docs")) | (F.col("n") * 2 > F.col("pages")))
-        out = e.join(runs.select(*doc, "key", F.lit(True).alias("runs")), [*doc, "key"], "left")
-        kind = F.when(F.col("number"), "pageno").when(F.col("runs") | F.col("paged"), "header")
-        out = out.select(*self.PAGE, "at", "line", kind.alias("kind"))
-        # Header and number stand outside the body: the line is at the very edge or all beyond it are such lines.
-        by = out.groupBy(*self.PAGE).agg(F.collect_set(F.when(F.col("kind").isNull(), F.col("at"))).alias("body"))
-        out = out.join(by, self.PAGE)
-        clear = F.when(F.col("at") >= 0, ~F.exists("body", lambda x: (x >= 0) & (x < F.col("at")))).otherwise(F.lit(False))
-        low = F.when(F.col("at") < 0, ~F.exists("body", lambda x: (x < 0) & (x > F.col("at")))).otherwise(
-            # a short page has no lower edge of its own: its last lines are counted from the top
-            ~F.exists("body", lambda x: (x < 0) | (x > F.col("at"))))
-        return out.select(*self.PAGE, "at", "line", F.when(clear | low, F.col("kind")).alias("kind"))
+    def running(self) -> DataFrame:
+        """(k): the line forms that run through their document."""
+        p = self.found.filter("edges is not null")
+        g = F.xxhash64("origin", "doc_sha256").alias("g")
+        e = p.select(g, "page_number", F.explode("edges").alias("x")).filter("x.k <> 0").select("g", "page_number", "x.k", "x.s")
+        keys = e.groupBy("k").agg(F.countDistinct("page_number").alias("n"), F.min("s").alias("s"), F.min("g").alias("g"))
+        sizes = p.select(g, "page_number").groupBy("g").agg(F.countDistinct("page_number").alias("pages"))
+        spread = keys.groupBy("s").agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 1).alias("running")).filter("running > 0")
+        j = keys.join(spread, "s").join(sizes, "g")
+        # A line form of many documents (a stamp, say) is a header where it stands alone, too; one at the
+        # edges of many documents that runs through few is a common sentence.
+        runs = (F.col("n") > 1) & (F.col("n") >= RUNS * F.col("pages"))
+        stamp = (F.col("running") >= 3) & (F.col("running") * 4 >= F.col("docs"))
+        usual = (F.col("docs") >= 3) & (F.col("running") * 2 <= F.col("docs")) & (F.col("n") * 2 <= F.col("pages"))
+        return j.filter((runs | stamp) & ~usual).select("k")
+
+    def facts(self) -> DataFrame:
+        """Per page, one row per fact: ``line`` (a header or page number), ``break`` (within the body),
+        ``tail`` (the body ends in a broken word) and ``start`` (its first word, under the page before)."""
+        pid = lambda n: F.xxhash64("origin", "doc_sha256", n)
+        p = self.found.filter("edges is not null").select(pid(F.col("page_number")).alias("pid"), pid(F.col("page_number") - 1).alias("before"), *self.PAGE, "edges", "breaks")
+        at = p.select("pid", F.explode("edges").alias("x")).filter("x.k <> 0").select("pid", "x.k", "x.at")
+        heads = at.join(self.running(), "k").groupBy("pid").agg(F.collect_set("at").alias("heads"))  # at most 2 * EDGE per page
+        names = ["pid", *self.PAGE, "fact", "at", "a", "b"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s, i = pa.string(), pa.int64()
+            kinds = [i, s, s, i, s, pa.int32(), s, s]
+            for b in batches:
+                rows = []
+                for pid_, before, o, d, n, edges, breaks, heads_ in zip(*(c.to_pylist() for c in b.columns)):
+                    kind = kinds_of(edges, set(heads_ or ()))
+                    rows += [(pid_, o, d, n, "line", e["at"], e["line"], kind[e["at"]]) for e in edges if kind[e["at"]]]
+                    body = [e for e in edges if not kind[e["at"]]]
+                    end = body[-1]["at"] if body else None
+                    rows += [(pid_, o, d, n, "break", x["at"], x["left"], x["right"]) for x in breaks if x["at"] == EDGE or x["at"] != end and not kind.get(x["at"])]
+                    if body:
+                        m = _BROKEN.search(body[-1]["line"])
+                        if m:
+                            rows.append((pid_, o, d, n, "tail", end, m.group(1), None))
+                        q = _STARTS.match(body[0]["line"])
+                        if q and n is not None:
+                            rows.append((before, None, None, None, "start", None, q.group(1), None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
+
+        return materialise(p.join(heads, "pid", "left").select("pid", "before", *self.PAGE, "edges", "breaks", "heads").mapInArrow(run, "pid long, origin string, doc_sha256 string, page_number long, fact string, at int, a string, b string"))
 
     def misread(self, extra: DataFrame | None = None) -> DataFrame:
         """(form, word): rare forms and the frequent word each was read from, fewest confusions
@@ -221,22 +253,13 @@ class Scan:
         best = F.max_by("word", F.struct(-F.col("errors"), F.col("m"), F.col("word")))
         return pairs.groupBy("form").agg(best.alias("word"))
 
-    def breaks(self, edges: DataFrame) -> DataFrame:
+    def breaks(self, facts: DataFrame) -> DataFrame:
         """(page, at, left, right, over) of words broken over a line end within the body, or from the end of
         a page's body to the start of the next page's."""
-        inside = self.found.filter("tag = 'b'").select(*self.PAGE, "at", F.col("a").alias("left"), F.col("b").alias("right")).distinct()
-        # Of each page the first and the last line of its body, from at most six rows.
-        body = edges.groupBy(*self.PAGE).agg(
-            F.sort_array(F.collect_set(F.when(F.col("kind").isNull(), F.struct(F.when(F.col("at") < 0, F.col("at") + 1_000_000).otherwise(F.col("at")).alias("o"), "at", "line")))).alias("body"),
-            F.collect_set(F.when(F.col("kind").isNotNull(), F.col("at"))).alias("off"))
-        body = body.filter(F.size("body") > 0).select(*self.PAGE, F.element_at("body", 1).alias("first"), F.element_at("body", -1).alias("last"), "off")
-        ends = body.select(*self.PAGE, F.col("last.at").alias("at"), F.regexp_extract("last.line", r"([\p{L}][\p{L}\p{N}]*(?:-[\p{L}\p{N}]+)*)[-\x{ac}\x{2010}\x{ad}]\s*$", 1).alias("left")).filter("left <> ''")
-        starts = body.select("origin", "doc_sha256", (F.col("page_number") - 1).alias("page_number"), F.regexp_extract("first.line", r"^\s*([\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*)", 1).alias("right")).filter("right <> ''")
-        over = ends.join(starts, self.PAGE)
-        # A break found inside at the last line of the body runs into a footer: it goes over the page.
-        mine = inside.join(body.select(*self.PAGE, F.col("last.at").alias("end"), "off"), self.PAGE, "left")
-        inside = mine.filter(F.coalesce((F.col("at") != F.col("end")) & ~F.array_contains("off", F.col("at")), F.lit(True))).select(*self.PAGE, "at", "left", "right", F.lit(False).alias("over"))
-        return inside.unionByName(over.select(*self.PAGE, "at", "left", "right", F.lit(True).alias("over")))
+        inside = facts.filter("fact = 'break'").select(*self.PAGE, "at", F.col("a").alias("left"), F.col("b").alias("right"), F.lit(False).alias("over"))
+        starts = facts.filter("fact = 'start'").select("pid", F.col("a").alias("right"))
+        over = facts.filter("fact = 'tail'").select("pid", *self.PAGE, "at", F.col("a").alias("left")).join(starts, "pid")
+        return inside.unionByName(over.select(*self.PAGE, "at", "left", "right", F.lit(True).alias("over"))).distinct()
 
     def joined(self, breaks: DataFrame) -> DataFrame:
         """Breaks with ``item``, the whole word in lower case. Hanging hyphens are left out, and breaks
@@ -251,10 +274,10 @@ class Scan:
         known = (F.col("nh") > 0) | (F.col("nj") > 0) | F.col("fixed").isNotNull()
         return b.join(w.select("left", "right", item.alias("item"), known.alias("known")), ["left", "right"]).filter("known or not over").drop("known")
 
-    def misread_words(self, edges: DataFrame) -> DataFrame:
+    def misread_words(self, facts: DataFrame) -> DataFrame:
         """(page, item, form): words of the body read wrongly."""
         forms = materialise(self.misread())
-        off = edges.filter("kind is not null").select(*self.PAGE, "at")
+        off = facts.filter("fact = 'line'").select(*self.PAGE, "at")
         many = forms.count()
         schema = "origin string, doc_sha256 string, page_number long, at int, form string, item string"
         if many <= SENT:
@@ -282,12 +305,12 @@ class Scan:
     def repaired(self) -> DataFrame:
         """(origin, doc_sha256, page_number, text) of every page as continuous readable paragraphs.
         Here page texts are joined with what is to be done on them, by the unique page."""
-        edges = materialise(self.edges())
-        off = edges.filter("kind is not null").groupBy(*self.PAGE).agg(F.collect_set("at").alias("off"))
-        breaks = materialise(self.breaks(edges))
+        facts = self.facts()
+        off = facts.filter("fact = 'line'").groupBy(*self.PAGE).agg(F.collect_set("at").alias("off"))
+        breaks = materialise(self.breaks(facts))
         joins = self.joined(breaks).groupBy(*self.PAGE).agg(F.collect_set(F.struct("at", "left", "right", "item")).alias("joins"))
         over = self.joined(breaks.filter("over")).select("origin", "doc_sha256", (F.col("page_number") + 1).alias("page_number"), F.col("right").alias("lead")).groupBy(*self.PAGE).agg(F.max("lead").alias("lead"))
-        fixes = self.misread_words(edges).groupBy(*self.PAGE).agg(F.map_from_entries(F.collect_set(F.struct("form", "item"))).alias("fixes"))
+        fixes = self.misread_words(facts).groupBy(*self.PAGE).agg(F.map_from_entries(F.collect_set(F.struct("form", "item"))).alias("fixes"))
         pages = self.pages.withColumn("h", F.xxhash64("text")).dropDuplicates([*self.PAGE, "h"]).drop("h")
         all_ = pages.join(off, self.PAGE, "left").join(joins, self.PAGE, "left").join(fixes, self.PAGE, "left").join(over, self.PAGE, "left")
 
@@ -301,13 +324,31 @@ class Scan:
 
     def cases(self) -> DataFrame:
         """(origin, doc_sha256, page_number, kind, item) of all four kinds."""
-        edges = materialise(self.edges())
-        lines_ = edges.filter("kind is not null").select(*self.PAGE, "kind", F.col("line").alias("item"))
-        words_ = self.joined(self.breaks(edges)).select(*self.PAGE, F.lit("hyphen").alias("kind"), "item")
-        wrong = self.misread_words(edges).select(*self.PAGE, F.lit("misread").alias("kind"), "item")
+        facts = self.facts()
+        lines_ = facts.filter("fact = 'line'").select(*self.PAGE, F.col("b").alias("kind"), F.col("a").alias("item"))
+        words_ = self.joined(self.breaks(facts)).select(*self.PAGE, F.lit("hyphen").alias("kind"), "item")
+        wrong = self.misread_words(facts).select(*self.PAGE, F.lit("misread").alias("kind"), "item")
         return lines_.unionByName(words_).unionByName(wrong).distinct()
 
 
+def _hash(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) - 2**63
+
+
+def kinds_of(edges: list[dict], heads: set[int]) -> dict[int, str | None]:
+    """What each edge line is: header, pageno or None for the body. Headers and numbers stand outside
+    the body: only such lines lie between them and the edge of the page."""
+    kind = {e["at"]: "pageno" if e["s"] == 1 and e["k"] == 0 else "header" if e["at"] in heads or is_paged(e["line"]) else None for e in edges}
+    order = [e["at"] for e in edges]
+    outside = set()
+    for side in (order, order[::-1]):
+        for at in side[:EDGE]:
+            if not kind[at]:
+                break
+            outside.add(at)
+    return {at: kind[at] if at in outside else None for at in order}
+
+
 def rebuild(text: str, off: list[int], joins: list[tuple[int, str, str, str]], fixes: dict[str, str], lead: str | None) -> str:
     """The page as paragraphs: lines at the places ``off`` go, broken words are written whole where
     they start, misread words are written as meant, and ``lead``, the end of a word that began on the
@@ -316,14 +357,14 @@ def rebuild(text: str, off: list[int], joins: list[tuple[int, str, str, str]], f
     ls = [x.strip() for x in _LINES.split(text)]
     full = [i for i, x in enumerate(ls) if x]
     n = len(full)
-    place = {i: (k if k < EDGE else (k - n if n - k <= EDGE else EDGE)) for k, i in enumerate(full)}
+    where = {i: place(k, n) for k, i in enumerate(full)}
     out: list[list[str]] = [[]]
     cut = lead
     for i, x in enumerate(ls):
         if not x:
             out.append([])
             continue
-        if place[i] in off:
+        if where[i] in off:
             continue
         if cut and x.lower().startswith(cut.lower()):
             x = x[len(cut) :].lstrip()
@@ -332,7 +373,7 @@ def rebuild(text: str, off: list[int], joins: list[tuple[int, str, str, str]], f
         if m:
             word = m.group(1)
             for (a, b, c), w in whole.items():
-                if a == place[i] and b == word.lower():
+                if a == where[i] and b == word.lower():
                     x = x[: m.start(1)] + (w if word[0].islower() else w[0].upper() + w[1:])
                     cut = c
                     break
@@ -354,17 +395,19 @@ def _like(form: str, word: str | None) -> str:
 
 def page_words(text: str, forms: dict | None) -> set[tuple[int, str]]:
     """(place of the line, word) of the whole words of a page, of those in ``forms`` if given."""
+    here = set(whole_words(text))
+    if forms is not None:
+        here &= forms.keys()
     out = set()
+    if not here:
+        return out
     ls = lines(text)
     n = len(ls)
     for i, x in enumerate(ls):
-        low = x.lower()
-        w = _TOKEN.findall(low)
-        if low[-1] in "-¬‐­" and w:
+        w = _TOKEN.findall(x.lower())
+        if x[-1] in "-¬‐\xad" and w:
             w = w[:-1]
-        if i and ls[i - 1][-1] in "-¬‐­":
+        if i and ls[i - 1][-1] in "-¬‐\xad":
             w = w[1:]
-        if forms is None or not forms.keys().isdisjoint(w):
-            at = i if i < EDGE else (i - n if n - i <= EDGE else EDGE)
-            out |= {(at, f) for f in w if forms is None or f in forms}
+        out |= {(place(i, n), f) for f in w if f in here}
     return out

@@ -71,14 +71,14 @@ def test_page_numbers(line, yes):
 
 
 def test_keys_and_variants():
-    assert key("Annals of scasonal ice, Vol. 4   3").lstrip("#") == key("12   Annals of seasonal icc, Vol. l4").lstrip("#") != ""
+    assert key("Annals of scasonal ice, Vol. 4   3") == key("12   Annals of seasonal icc, Vol. l4") != ""
     assert key("systems alike.") == "" and key("12") == ""
     for bad, good in [("rneasurernent", "measurement"), ("siimmary", "summary"), ("vvith", "with"), ("c0mpiler", "compiler"), ("determmistic", "deterministic"), ("cliscarclecl", "")]:
         assert (good in variants(bad)) is bool(good)
 
 
 def test_many_forms_meet_the_words_in_a_join(spark, monkeypatch):
-    rows, want = pages(3, docs=3)
+    rows, want = pages()
     df = spark.createDataFrame(rows, "origin string, doc_sha256 string, page_number long, text string")
     monkeypatch.setattr(scans, "SENT", 0)
     assert {tuple(x) for x in Scan(df).cases().collect() if x.kind == "misread"} == {w for w in want if w[3] == "misread"}
