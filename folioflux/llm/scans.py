@@ -46,10 +46,10 @@ for _a, _b in PAIRS:
 #: Confused letters end in the same strokes, whatever the confusion.
 STROKES = str.maketrans({"m": "lll", "n": "ll", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "d": "cl", "w": "vv", "i": "l", "1": "l", "t": "l", "f": "l", "r": "l", "|": "l", "j": "l", "e": "c", "o": "c", "0": "c", "a": "c", "5": "s", "9": "g", "q": "g", "y": "v", "2": "z"})
 
-_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _BROKEN = re.compile(r"([^\W\d_][^\W_]*(?:-[^\W_]+)*)[-¬‐­]\s*$")
-_SPLIT = re.compile(r"[\w-]*[-¬‐\xad][ \t]*[\r\n\x0b\x0c\x85\u2028\u2029]\s*[\w-]*|[\w-]*[-¬‐\xad]\s*$")
+_BREAKS = re.compile("[-¬‐\xad][ \t]*(?:[\r\n\x0b\x0c\x85\u2028\u2029]|$)")
 _STARTS = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
 _NUMBER = re.compile(r"(?:[-–—\[(|.~*\s]*)(?:p(?:age|\.|g\.)?\s*)?([0-9lIOoSB|]{1,5}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOoSB|]{1,5})?(?:[-–—\])|~*\s]*)", re.IGNORECASE)
 _ROMAN = re.compile(r"(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
@@ -82,7 +82,7 @@ def is_paged(line: str) -> bool:
 
 
 def lines(text: str) -> list[str]:
-    return [x.strip() for x in _LINES.split(text) if x.strip()]
+    return [y for x in text.splitlines() if (y := x.strip())]
 
 
 def place(i: int, n: int) -> int:
@@ -106,9 +106,14 @@ def scan_page(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, st
 def whole_words(text: str) -> list[str]:
     """Words of a page in lower case, broken ones left out."""
     low = text.lower()
-    if _SPLIT.search(low):
-        low = _SPLIT.sub(" ", low)
-    return _TOKEN.findall(low)
+    if not _BREAKS.search(low):
+        return _TOKEN.findall(low)
+    out, broken = [], False
+    for x in lines(low):
+        w = _TOKEN.findall(x)
+        a, broken = int(broken), x[-1] in "-¬‐\xad"
+        out += w[a : len(w) - 1 if broken else len(w)]
+    return out
 
 
 def variants(word: str, errors: int = ERRORS) -> dict[str, int]:
@@ -138,7 +143,10 @@ class Scan:
     _EDGES = "array<struct<at:int,line:string,k:bigint,s:bigint>>"
     _BREAKS = "array<struct<at:int,left:string,right:string>>"
 
-    def __init__(self, pages: DataFrame):
+    def __init__(self, pages: DataFrame, scans: tuple[str, ...] = ("recovered_pages",)):
+        """``scans``: origins whose pages are scans by their nature. A document of another origin comes
+        from a scan if it has a header, a page number or a broken word; in others nothing is misread."""
+        self.scans = scans
         self.pages = pages.select(*self.PAGE, "text").filter("text is not null and text <> ''")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +282,21 @@ class Scan:
         known = (F.col("nh") > 0) | (F.col("nj") > 0) | F.col("fixed").isNotNull()
         return b.join(w.select("left", "right", item.alias("item"), known.alias("known")), ["left", "right"]).filter("known or not over").drop("known")
 
+    def _scanned(self, facts: DataFrame) -> DataFrame:
+        """The pages of documents that come from a scan."""
+        doc = ["origin", "doc_sha256"]
+        by_nature = F.coalesce(F.col("origin").isin(*self.scans), F.lit(False))
+        some = facts.filter("fact <> 'start'").select(F.xxhash64(*doc).alias("g")).distinct()
+        others = self.pages.filter(~by_nature).withColumn("g", F.xxhash64(*doc))
+        if some.count() <= SENT:  # 8 bytes each
+            some = F.broadcast(some)
+        return self.pages.filter(by_nature).unionByName(others.join(some, "g", "left_semi").drop("g"))
+
     def misread_words(self, facts: DataFrame) -> DataFrame:
         """(page, item, form): words of the body read wrongly."""
         forms = materialise(self.misread())
         off = facts.filter("fact = 'line'").select(*self.PAGE, "at")
+        pages = self._scanned(facts)
         many = forms.count()
         schema = "origin string, doc_sha256 string, page_number long, at int, form string, item string"
         if many <= SENT:
@@ -291,7 +310,7 @@ class Scan:
 
             s = pa.string()
             kinds = [s, s, pa.int64(), pa.int32(), s, s]
-            hits = self.pages.mapInArrow(run, schema)
+            hits = pages.mapInArrow(run, schema)
         else:
 
             def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +318,7 @@ class Scan:
                     rows = [(o, d, p, at, f) for o, d, p, t in zip(*(c.to_pylist() for c in b.columns)) for at, f in page_words(t, None)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string()])] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string())], ["origin", "doc_sha256", "page_number", "at", "form"])
 
-            hits = self.pages.mapInArrow(every, "origin string, doc_sha256 string, page_number long, at int, form string").join(forms.select("form", F.col("word").alias("item")), "form")
+            hits = pages.mapInArrow(every, "origin string, doc_sha256 string, page_number long, at int, form string").join(forms.select("form", F.col("word").alias("item")), "form")
         return hits.join(off, [*self.PAGE, "at"], "left_anti").select(*self.PAGE, "form", "item").distinct()
 
     def repaired(self) -> DataFrame:
