@@ -154,33 +154,49 @@ class Scan:
 
             def flush() -> pa.RecordBatch:
                 k = len(words)
-                out = pa.RecordBatch.from_arrays([pa.nulls(k, t) if i < 5 else pa.array(v, t) for i, (t, v) in enumerate(zip(types, (*[None] * 5, list(words), list(words.values()))))], names)
+                out = pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in types[:7]), pa.array(list(words), s), pa.array(list(words.values()), i)], names)
                 words.clear()
                 return out
 
             for b in batches:
-                edges_, breaks_ = [], []
+                e_at, e_line, e_k, e_s, e_off = [], [], [], [], [0]
+                b_at, b_left, b_right, b_off = [], [], [], [0]
+                starts, plain = [], []
                 for o, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
                     edges, breaks = scan_page(t)
                     words.update(whole_words(t))
-                    row = []
+                    easy = not breaks
                     for at, x in edges:
                         # 0 stands for no header form, 1 for a page number
-                        f = "" if is_number(x) else key(x)
-                        row.append({"at": at, "line": x, "k": _hash(f"{o}\0{d}\0{f}") if f else 0, "s": _hash(f) if f else int(is_number(x))})
-                    edges_.append(row)
-                    breaks_.append([{"at": at, "left": x, "right": y} for at, x, y in breaks])
-                n = len(edges_)
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(edges_, types[3]), pa.array(breaks_, types[4]), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
+                        number = is_number(x)
+                        f = "" if number else key(x)
+                        e_at.append(at)
+                        e_line.append(x)
+                        e_k.append(_hash(f"{o}\0{d}\0{f}") if f else 0)
+                        e_s.append(_hash(f) if f else int(number))
+                        easy = easy and not number and x[-1] not in "-¬‐\xad" and "  " not in x
+                    e_off.append(len(e_at))
+                    for at, x, y in breaks:
+                        b_at.append(at)
+                        b_left.append(x)
+                        b_right.append(y)
+                    b_off.append(len(b_at))
+                    q = _STARTS.match(edges[0][1]) if edges else None
+                    starts.append(q.group(1) if q else None)
+                    plain.append(easy)
+                n = len(starts)
+                nest = lambda off, kind, *cols: pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind.value_type)], fields=list(kind.value_type)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], nest(e_off, types[3], e_at, e_line, e_k, e_s), nest(b_off, types[4], b_at, b_left, b_right), pa.array(starts, s), pa.array(plain, pa.bool_()), pa.nulls(n, s), pa.nulls(n, i)], names)
                 if len(words) > 200_000:
                     yield flush()
             yield flush()
 
-        names = [*self.PAGE, "edges", "breaks", "word", "n"]
+        names = [*self.PAGE, "edges", "breaks", "start", "plain", "word", "n"]
         s, i = pa.string(), pa.int64()
-        types = [s, s, i, pa.list_(pa.struct([("at", pa.int32()), ("line", s), ("k", i), ("s", i)])), pa.list_(pa.struct([("at", pa.int32()), ("left", s), ("right", s)])), s, i]
-        self.found = materialise(self.pages.mapInArrow(run, f"origin string, doc_sha256 string, page_number long, edges {self._EDGES}, breaks {self._BREAKS}, word string, n long"))
+        types = [s, s, i, pa.list_(pa.struct([("at", pa.int32()), ("line", s), ("k", i), ("s", i)])), pa.list_(pa.struct([("at", pa.int32()), ("left", s), ("right", s)])), s, pa.bool_(), s, i]
+        self.found = materialise(self.pages.mapInArrow(run, f"origin string, doc_sha256 string, page_number long, edges {self._EDGES}, breaks {self._BREAKS}, start string, plain boolean, word string, n long"))
         self._words: DataFrame | None = None
+        self._forms: DataFrame | None = None
 
     def words(self) -> DataFrame:
         """(word, n) of the corpus, broken words left out."""
@@ -208,7 +224,7 @@ class Scan:
         """Per page, one row per fact: ``line`` (a header or page number), ``break`` (within the body),
         ``tail`` (the body ends in a broken word) and ``start`` (its first word, under the page before)."""
         pid = lambda n: F.xxhash64("origin", "doc_sha256", n)
-        p = self.found.filter("edges is not null").select(pid(F.col("page_number")).alias("pid"), pid(F.col("page_number") - 1).alias("before"), *self.PAGE, "edges", "breaks")
+        p = self.found.filter("edges is not null").select(pid(F.col("page_number")).alias("pid"), pid(F.col("page_number") - 1).alias("before"), *self.PAGE, "edges", "breaks", "start", "plain")
         at = p.select("pid", F.explode("edges").alias("x")).filter("x.k <> 0").select("pid", "x.k", "x.at")
         heads = at.join(self.running(), "k").groupBy("pid").agg(F.collect_set("at").alias("heads"))  # at most 2 * EDGE per page
         names = ["pid", *self.PAGE, "fact", "at", "a", "b"]
@@ -233,7 +249,13 @@ class Scan:
                             rows.append((before, None, None, None, "start", None, q.group(1), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
 
-        return materialise(p.join(heads, "pid", "left").select("pid", "before", *self.PAGE, "edges", "breaks", "heads").mapInArrow(run, "pid long, origin string, doc_sha256 string, page_number long, fact string, at int, a string, b string"))
+        # A plain page (no number, break or wide space at its edges, no header) is all body: only its first word counts.
+        p = p.join(heads, "pid", "left")
+        plain = F.col("plain") & F.col("heads").isNull()
+        none = F.lit(None).cast("string")
+        easy = p.filter(plain & F.col("start").isNotNull() & F.col("page_number").isNotNull()).select(F.col("before").alias("pid"), none.alias("origin"), none.alias("doc_sha256"), F.lit(None).cast("long").alias("page_number"), F.lit("start").alias("fact"), F.lit(None).cast("int").alias("at"), F.col("start").alias("a"), none.alias("b"))
+        rest = p.filter(~plain).select("pid", "before", *self.PAGE, "edges", "breaks", "heads").mapInArrow(run, "pid long, origin string, doc_sha256 string, page_number long, fact string, at int, a string, b string")
+        return materialise(rest.unionByName(easy))
 
     def misread(self, extra: DataFrame | None = None) -> DataFrame:
         """(form, word): rare forms and the frequent word each was read from, fewest confusions
@@ -269,6 +291,13 @@ class Scan:
         over = facts.filter("fact = 'tail'").select("pid", *self.PAGE, "at", F.col("a").alias("left")).join(starts, "pid")
         return inside.unionByName(over.select(*self.PAGE, "at", "left", "right", F.lit(True).alias("over"))).distinct()
 
+    def forms(self, breaks: DataFrame) -> DataFrame:
+        """The misread forms among the words of the corpus and the joined broken words; kept."""
+        if self._forms is None:
+            j = breaks.select(F.lower(F.concat("left", "right")).alias("word"), F.lit(0).cast("long").alias("n")).distinct()
+            self._forms = materialise(self.misread(j))
+        return self._forms
+
     def joined(self, breaks: DataFrame) -> DataFrame:
         """Breaks with ``item``, the whole word in lower case. Hanging hyphens are left out, and breaks
         over a page end whose whole word the corpus does not know: what follows may be no body."""
@@ -276,7 +305,7 @@ class Scan:
         pair = b.select("left", "right").distinct().filter(~F.col("right").isin(*HANGING))
         whole = materialise(pair.select("left", "right", F.concat("left", "right").alias("j"), F.concat_ws("-", "left", "right").alias("h")))
         n = self.words()
-        forms = self.misread(whole.select(F.col("j").alias("word"), F.lit(0).cast("long").alias("n")).distinct())
+        forms = self.forms(breaks)
         w = whole.join(n.select(F.col("word").alias("j"), F.col("n").alias("nj")), "j", "left").join(n.select(F.col("word").alias("h"), F.col("n").alias("nh")), "h", "left").join(forms.select(F.col("form").alias("j"), F.col("word").alias("fixed")), "j", "left").na.fill(0, ["nj", "nh"])
         item = F.when(F.col("nh") > F.col("nj"), F.col("h")).otherwise(F.coalesce("fixed", "j"))
         known = (F.col("nh") > 0) | (F.col("nj") > 0) | F.col("fixed").isNotNull()
@@ -294,7 +323,7 @@ class Scan:
 
     def misread_words(self, facts: DataFrame) -> DataFrame:
         """(page, item, form): words of the body read wrongly."""
-        forms = materialise(self.misread())
+        forms = self.forms(self.breaks(facts))
         off = facts.filter("fact = 'line'").select(*self.PAGE, "at")
         pages = self._scanned(facts)
         many = forms.count()
@@ -327,6 +356,7 @@ class Scan:
         facts = self.facts()
         off = facts.filter("fact = 'line'").groupBy(*self.PAGE).agg(F.collect_set("at").alias("off"))
         breaks = materialise(self.breaks(facts))
+        self.forms(breaks)
         joins = self.joined(breaks).groupBy(*self.PAGE).agg(F.collect_set(F.struct("at", "left", "right", "item")).alias("joins"))
         over = self.joined(breaks.filter("over")).select("origin", "doc_sha256", (F.col("page_number") + 1).alias("page_number"), F.col("right").alias("lead")).groupBy(*self.PAGE).agg(F.max("lead").alias("lead"))
         fixes = self.misread_words(facts).groupBy(*self.PAGE).agg(F.map_from_entries(F.collect_set(F.struct("form", "item"))).alias("fixes"))
@@ -345,7 +375,9 @@ class Scan:
         """(origin, doc_sha256, page_number, kind, item) of all four kinds."""
         facts = self.facts()
         lines_ = facts.filter("fact = 'line'").select(*self.PAGE, F.col("b").alias("kind"), F.col("a").alias("item"))
-        words_ = self.joined(self.breaks(facts)).select(*self.PAGE, F.lit("hyphen").alias("kind"), "item")
+        breaks = materialise(self.breaks(facts))
+        self.forms(breaks)
+        words_ = self.joined(breaks).select(*self.PAGE, F.lit("hyphen").alias("kind"), "item")
         wrong = self.misread_words(facts).select(*self.PAGE, F.lit("misread").alias("kind"), "item")
         return lines_.unionByName(words_).unionByName(wrong).distinct()
 
