@@ -23,6 +23,8 @@ from folioflux.session import materialise
 
 #: Lines looked at on either edge of a page: a header and a page number may both stand there.
 EDGE = 3
+#: Of these, lines that may be a header or a page number: one of each at most.
+OUTER = 2
 #: Share of a document's pages with an edge line for it to run through the document; alternating
 #: headers stand on every second page, and the first page often has none.
 RUNS = 0.25
@@ -166,10 +168,11 @@ class Scan:
                     edges, breaks = scan_page(t)
                     words.update(whole_words(t))
                     easy = not breaks
-                    for at, x in edges:
+                    for i, (at, x) in enumerate(edges):
                         # 0 stands for no header form, 1 for a page number
-                        number = is_number(x)
-                        f = "" if number else key(x)
+                        outer = i < OUTER or len(edges) - i <= OUTER
+                        number = outer and is_number(x)
+                        f = key(x) if outer and not number else ""
                         e_at.append(at)
                         e_line.append(x)
                         e_k.append(_hash(f"{o}\0{d}\0{f}") if f else 0)
@@ -393,7 +396,7 @@ def kinds_of(edges: list[dict], heads: set[int]) -> dict[int, str | None]:
     order = [e["at"] for e in edges]
     outside = set()
     for side in (order, order[::-1]):
-        for at in side[:EDGE]:
+        for at in side[:OUTER]:
             if not kind[at]:
                 break
             outside.add(at)
