@@ -168,9 +168,9 @@ class Scan:
                     edges, breaks = scan_page(t)
                     words.update(whole_words(t))
                     easy = not breaks
-                    for i, (at, x) in enumerate(edges):
+                    for k, (at, x) in enumerate(edges):
                         # 0 stands for no header form, 1 for a page number
-                        outer = i < OUTER or len(edges) - i <= OUTER
+                        outer = k < OUTER or len(edges) - k <= OUTER
                         number = outer and is_number(x)
                         f = key(x) if outer and not number else ""
                         e_at.append(at)
