@@ -22,6 +22,8 @@ from folioflux.session import materialise, shuffle_partitions
 
 #: Nodes of one partition of a smaller forest; such a partition is solved in memory.
 PART_ROWS = 200_000
+#: Levels at which chains that do not shrink are shortened by joins; each shortens them eightfold.
+SHORTENED = 12
 
 _NODES = "g string, id string, pos long, parent string, w long, low string, kind string, top string, depth long, seg array<string>, path array<string>"
 _SOLVED = "pid int, edge boolean, " + _NODES + ", target string, xdepth long"
@@ -107,7 +109,17 @@ def _found_deeper(kind: str, level: int) -> Column:
     return F.col(kind).rlike("^[CB]") & (F.substring(kind, 2, 9).cast("int") > level)
 
 
-def _solve(nodes: DataFrame, n: int, with_paths: bool, level: int = 0) -> DataFrame:
+def _shorten(nodes: DataFrame, with_paths: bool) -> DataFrame:
+    """Every node linked to its parent's parent, where there is one: chains of half the length. A circle
+    becomes one or two circles that have seen all its names."""
+    p = nodes.select("g", F.col("id").alias("parent"), F.col("parent").alias("pp"), F.col("w").alias("pw"), F.col("low").alias("plow"), F.col("seg").alias("pseg")).filter("pp is not null")
+    j = nodes.join(p, ["g", "parent"], "left")
+    hop = F.col("pp").isNotNull()
+    seg = F.when(hop, F.concat("pseg", "seg")).otherwise(F.col("seg")) if with_paths else F.col("seg")
+    return j.select("g", "id", "pos", F.coalesce("pp", "parent").alias("parent"), F.when(hop, F.col("w") + F.col("pw")).otherwise(F.col("w")).alias("w"), F.when(hop, F.least("low", "plow")).otherwise(F.col("low")).alias("low"), "kind", "top", "depth", seg.alias("seg"), "path")
+
+
+def _solve(nodes: DataFrame, n: int, with_paths: bool, level: int = 0, before: int | None = None) -> DataFrame:
     """(g, id, kind, top, depth, path) of every node. kind: R or E as the end's row says, C<level>
     on a circle found at that level of the recursion, B<level> below one."""
     rows = _contracted(nodes, n, with_paths, level)
@@ -124,8 +136,15 @@ def _solve(nodes: DataFrame, n: int, with_paths: bool, level: int = 0) -> DataFr
         return rows.select(*_RESULT)
     leaves = F.col("target").isNotNull()
     smaller = entered.select("g", "id", "pos", F.col("target").alias("parent"), F.when(leaves, F.col("xdepth")).otherwise(0).alias("w"), F.coalesce("low", "id").alias("low"), "kind", "top", "depth", "seg", "path")
-    # Fewer partitions at every level, so the recursion ends even if no chain gets shorter.
-    solved = materialise(_solve(smaller, max(1, min(n // 2, -(-count // PART_ROWS))), with_paths, level + 1))
+    fit = max(1, -(-count // PART_ROWS))
+    if before is not None and 2 * count > before and fit > 1 and level < SHORTENED:
+        # Links lead everywhere, so cutting by place gains nothing: halve the chains three times instead.
+        for _ in range(3):
+            smaller = materialise(_shorten(smaller, with_paths))
+        parts = min(n, fit)
+    else:
+        parts = max(1, min(n // 2, fit))  # fewer at every level, so the recursion ends
+    solved = materialise(_solve(smaller, parts, with_paths, level + 1, count))
     at = solved.select("g", F.col("id").alias("target"), F.col("kind").alias("tkind"), F.col("top").alias("ttop"), F.col("depth").alias("tdepth"), F.col("path").alias("tpath"))
     joined = out.join(at, ["g", "target"], "left")
     known = F.col("tkind").isNotNull()

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from folioflux.functions.text import is_blank
 from folioflux.operators.hierarchy import resolve
 
-#: State that may follow a state of a phase.
+#: States that may follow a state unless the caller names others; "" stands before the first.
 TRANSITIONS = {"": ("planned",), "planned": ("next", "in-progress", "cancelled"), "next": ("in-progress", "planned", "cancelled"), "in-progress": ("complete", "planned", "next", "cancelled"), "complete": ("in-progress",), "cancelled": ()}
 
 
@@ -38,14 +38,14 @@ def rational_rank(df: DataFrame, order: str, *ties: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def event_violations(events: DataFrame) -> DataFrame:
+def event_violations(events: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
     """(phase, code) of a ledger of events (id, phase, previous, from_state, state): not one first
     event, a predecessor that is missing or of another phase, a fork, a wrong or illegal state, a
     circle of predecessors."""
     e = events.select("id", "phase", "previous", F.coalesce("from_state", F.lit("")).alias("from_state"), "state")
     p = e.select(F.col("id").alias("previous"), F.col("phase").alias("p_phase"), F.col("state").alias("p_state"))
     j = e.join(p, "previous", "left")
-    legal = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]) if v else F.array().cast("array<string>"))])
+    legal = F.create_map(*[x for k, v in transitions.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]) if v else F.array().cast("array<string>"))])
     rules = [
         (F.col("previous").isNotNull() & F.col("p_phase").isNull(), "missing-predecessor"), (F.col("p_phase") != F.col("phase"), "foreign-predecessor"), (F.col("p_state") != F.col("from_state"), "wrong-from-state"),
         (~F.coalesce(F.array_contains(F.try_element_at(legal, F.when(F.col("previous").isNull(), "").otherwise(F.col("from_state"))), F.col("state")), F.lit(False)), "illegal-transition")]

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from folioflux.operators import hierarchy
 from folioflux.operators.hierarchy import descendants, resolve
 
 
@@ -67,3 +68,13 @@ def test_descendants(spark):
     df = spark.createDataFrame([("g", "r", None), ("g", "a", "r"), ("g", "b", "a"), ("g", "c", "r")], "g string, id string, parent string")
     got = {(x.ancestor, x.descendant, x.distance) for x in descendants(resolve(df, "g", "id", "parent", with_paths=True), "g", "id").collect()}
     assert got == {("r", "a", 1), ("a", "b", 1), ("r", "b", 2), ("r", "c", 1)}
+
+
+@pytest.mark.parametrize("circle", [False, True])
+def test_links_that_lead_everywhere_are_shortened(spark, monkeypatch, circle):
+    monkeypatch.setattr(hierarchy, "PART_ROWS", 12)
+    r = random.Random(9)
+    names = [f"{i:03d}" for i in range(90)]
+    r.shuffle(names)
+    rows = [("g", names[i], names[i - 1] if i else (names[40] if circle else None), r.randrange(50), i == 0) for i in range(90)]
+    check(spark, rows, partitions=6)
