@@ -254,6 +254,72 @@ def run_looks(spark, sf):
     return x.groupBy("k.size", "k.bold", "k.italic", "k.mono").agg(F.count("*").alias("runs"))
 
 
+def doc_mentioned_files(spark, sf):
+    """Documents that name a file that came with some paper."""
+    from folioflux.functions.records import mentions
+
+    d = read(spark, sf, "documents")
+    return mentions(d.filter("text is not null"), "doc_id", "text", d.select(F.explode("file_list").alias("path")), "path")
+
+
+def event_usage(spark, sf):
+    """A count in the JSON of events, by either spelling."""
+    from folioflux.functions.records import usage
+
+    e = read(spark, sf, "events")
+    return e.groupBy("event_type").agg(F.sum(usage("props", "kk", "k")).alias("total"), F.count(usage("props", "kk", "k")).alias("n"))
+
+
+def event_interval_union(spark, sf):
+    """United time of events as intervals of value times ten minutes, per user."""
+    from folioflux.operators.tracing import interval_union
+
+    e = read(spark, sf, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("s"), (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") + F.floor(F.col("value") * 600).cast("long")).alias("e"))
+    return interval_union(e, ["user_id"], "s", "e", "union_us")
+
+
+def event_peak_concurrency(spark, sf):
+    from folioflux.operators.tracing import peak_concurrency
+
+    e = read(spark, sf, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("s"), (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") + F.floor(F.col("value") * 600).cast("long")).alias("e"))
+    return peak_concurrency(e, "user_id", "s", "e")
+
+
+def event_p95(spark, sf):
+    from folioflux.operators.tracing import nearest_rank
+
+    return nearest_rank(read(spark, sf, "events"), ["event_type"], "value", 0.95, 1)
+
+
+def page_identity(spark, sf):
+    """Identity of what is read from each page: document, page and text together."""
+    from folioflux.functions.records import prompt_identity
+
+    return native_pages(spark, sf).select("doc_sha256", "page_number", prompt_identity("doc_sha256", F.col("page_number").cast("string"), "text").alias("identity"))
+
+
+def page_strips(spark, sf):
+    """Strips of recognised pages cut into their bands, 8,000 rows each."""
+    from folioflux.functions.records import strip_edges
+
+    r = recognised_pages(spark, sf).filter("bands >= 1")
+    cuts = F.transform(F.filter(F.sequence(F.lit(0), F.col("bands") - 1), lambda i: i > 0), lambda i: i * 8000)
+    return r.select("doc_sha256", "page_number", F.posexplode(strip_edges(F.lit(0), F.col("bands") * 8000, cuts)).alias("strip", "x")).select("doc_sha256", "page_number", "strip", F.col("x.from").alias("top"), F.col("x.to").alias("bottom"))
+
+
+def page_block_kinds(spark, sf):
+    """Blocks of recognised pages between empty lines, by kind."""
+    b = recognised_pages(spark, sf).select("doc_sha256", "page_number", F.explode(F.split("text", "\n\n")).alias("b"))
+    return b.groupBy(pg.block_kind(F.split("b", "\n")).alias("kind")).agg(F.count("*").alias("blocks"))
+
+
+def item_tables(spark, sf):
+    """Test items by task and split as a Markdown table of counts."""
+    g = read(spark, sf, "eval_items").groupBy("task").agg(F.array_sort(F.collect_list("split")).alias("s"))
+    row = F.array(F.col("task"), F.size(F.filter("s", lambda x: x == "test")).cast("string"), F.size("s").cast("string"))
+    return g.select("task", pg.table_markdown(F.array(F.array(F.lit("task"), F.lit("test"), F.lit("all")), row)).alias("table"))
+
+
 _NP = "np AS (SELECT DISTINCT doc_sha256, page_texts FROM inspections WHERE page_texts IS NOT NULL), n AS (SELECT doc_sha256, CAST(unnest(range(1, len(page_texts) + 1)) AS INT) page_number, unnest(page_texts) AS text FROM np)"
 _RP = "r AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY doc_sha256, page_number ORDER BY recovered_at DESC) rn FROM recovered_pages) WHERE rn = 1)"
 _BLANK = r"regexp_full_match(coalesce(text, ''), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]*')"
@@ -301,6 +367,16 @@ b AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(line, '^\\(sub)*section') THEN
     "doc_glob_families": r"SELECT path, CASE WHEN regexp_full_match(path, 'fig[^/]*/.*') THEN 'figures' WHEN regexp_full_match(path, 'sections/[^/]*') THEN 'sections' WHEN regexp_full_match(path, '(?:.*/)?[^/]*\.tex') THEN 'sources' ELSE 'rest' END family FROM (SELECT DISTINCT unnest(file_list) path FROM documents)",
     "label_tallies": "SELECT strftime(rated_at, '%Y-%m') || '-w' || CAST((day(rated_at) - 1) // 7 + 1 AS VARCHAR) AS \"week\", coalesce(kind, 'none') kind, count(*) judgements, count(*) FILTER (flagged = 1) flagged FROM content_labels WHERE rated_at IS NOT NULL GROUP BY 1, 2",
     "label_disagreements": "SELECT doc_id, count(DISTINCT rater) raters, count(DISTINCT concat_ws('|', CAST(flagged AS VARCHAR), coalesce(kind, 'none'))) verdicts FROM content_labels GROUP BY 1 HAVING count(DISTINCT concat_ws('|', CAST(flagged AS VARCHAR), coalesce(kind, 'none'))) > 1",
+    "doc_mentioned_files": r"""WITH t AS (SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[\w./-]*\w')), '^\./', '') path FROM documents WHERE text IS NOT NULL) SELECT path, doc_id FROM t WHERE path IN (SELECT unnest(file_list) FROM documents)""",
+    "event_usage": "SELECT event_type, CAST(sum(k) AS BIGINT) total, count(k) n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events) GROUP BY 1",
+    "event_interval_union": """WITH q AS (SELECT DISTINCT user_id, epoch_us(ts) s, epoch_us(ts) + CAST(floor(value * 600) AS BIGINT) e FROM events), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pm FROM q WHERE e > s) SELECT user_id, CAST(sum(greatest(0, e - greatest(s, coalesce(pm, s)))) AS BIGINT) union_us FROM m GROUP BY 1""",
+    "event_peak_concurrency": """WITH q AS (SELECT user_id, epoch_us(ts) s, epoch_us(ts) + CAST(floor(value * 600) AS BIGINT) e FROM events WHERE value IS NOT NULL), v AS (SELECT user_id, s t, 1 d FROM q UNION ALL SELECT user_id, e, -1 FROM q), r AS (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) n FROM v) SELECT user_id, CAST(greatest(0, max(n)) AS BIGINT) peak FROM r GROUP BY 1""",
+    "event_p95": "SELECT event_type, count(*) samples, quantile_disc(value, 0.95) p FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "page_identity": f"WITH {_NP} SELECT doc_sha256, page_number, sha256(concat_ws(chr(10) || chr(10), doc_sha256, CAST(page_number AS VARCHAR), text)) AS identity FROM n",
+    "page_strips": f"WITH {_RP} SELECT doc_sha256, page_number, CAST(i AS INT) strip, CAST(i * 8000 AS INT) top, CAST((i + 1) * 8000 AS INT) bottom FROM r, unnest(range(0, bands)) t(i) WHERE bands >= 1",
+    "page_block_kinds": rf"""WITH {_RP}, b AS (SELECT unnest(string_split(text, chr(10) || chr(10))) b FROM r), l AS (SELECT string_split(b, chr(10)) a FROM b), k AS (SELECT a, list_max(list_transform(a, lambda x: length(x))) f FROM l)
+SELECT CASE WHEN len(list_filter(a, lambda x: regexp_matches(x, '^\s*(?:[-*•‣▪◦–]|\(?\d{{1,3}}[.)])\s+\S'))) > 0 THEN 'list' WHEN len(a) > 1 AND len(list_filter(a[:len(a) - 1], lambda x: NOT length(x) >= 0.75 * f)) = 0 THEN 'wrapped' ELSE 'lines' END kind, count(*) blocks FROM k GROUP BY 1""",
+    "item_tables": "SELECT task, '| task | test | all |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || task || ' | ' || count(*) FILTER (split = 'test') || ' | ' || count(*) || ' |' AS \"table\" FROM eval_items GROUP BY task",
     "run_looks": r"SELECT size, bold, italic, mono, count(*) runs FROM (SELECT round_even(2 * (l_quantity / 4), 0) / 2 size, (CAST(l_partkey AS INT) & 16) > 0 OR l_linenumber = 1 bold, (CAST(l_partkey AS INT) & 2) > 0 OR l_linenumber <> 1 italic, (CAST(l_partkey AS INT) & 8) > 0 mono FROM lineitem) GROUP BY ALL",
 }
 ROWS_ONLY = ["doc_word_gate", "page_cross_check", "image_hashes"]
