@@ -302,7 +302,7 @@ class Scan:
         return self._forms
 
     def joined(self, breaks: DataFrame) -> DataFrame:
-        """Breaks with ``item``, the whole word in lower case. Hanging hyphens are left out, and breaks
+        """Breaks with ``item``, the whole word in lower case, and ``wrong`` if it was misread, too. Hanging hyphens are left out, and breaks
         over a page end whose whole word the corpus does not know: what follows may be no body."""
         b = breaks.withColumn("left", F.lower("left")).withColumn("right", F.lower("right"))
         pair = b.select("left", "right").distinct().filter(~F.col("right").isin(*HANGING))
@@ -312,7 +312,8 @@ class Scan:
         w = whole.join(n.select(F.col("word").alias("j"), F.col("n").alias("nj")), "j", "left").join(n.select(F.col("word").alias("h"), F.col("n").alias("nh")), "h", "left").join(forms.select(F.col("form").alias("j"), F.col("word").alias("fixed")), "j", "left").na.fill(0, ["nj", "nh"])
         item = F.when(F.col("nh") > F.col("nj"), F.col("h")).otherwise(F.coalesce("fixed", "j"))
         known = (F.col("nh") > 0) | (F.col("nj") > 0) | F.col("fixed").isNotNull()
-        return b.join(w.select("left", "right", item.alias("item"), known.alias("known")), ["left", "right"]).filter("known or not over").drop("known")
+        wrong = (item == F.col("fixed")) & (F.length(item) >= 4)
+        return b.join(w.select("left", "right", item.alias("item"), F.coalesce(wrong, F.lit(False)).alias("wrong"), known.alias("known")), ["left", "right"]).filter("known or not over").drop("known")
 
     def _scanned(self, facts: DataFrame) -> DataFrame:
         """The pages of documents that come from a scan."""
@@ -380,7 +381,9 @@ class Scan:
         lines_ = facts.filter("fact = 'line'").select(*self.PAGE, F.col("b").alias("kind"), F.col("a").alias("item"))
         breaks = materialise(self.breaks(facts))
         self.forms(breaks)
-        words_ = self.joined(breaks).select(*self.PAGE, F.lit("hyphen").alias("kind"), "item")
+        joined = self.joined(breaks)
+        kinds = F.when(F.col("wrong"), F.array(F.lit("hyphen"), F.lit("misread"))).otherwise(F.array(F.lit("hyphen")))
+        words_ = joined.select(*self.PAGE, F.explode(kinds).alias("kind"), "item")
         wrong = self.misread_words(facts).select(*self.PAGE, F.lit("misread").alias("kind"), "item")
         return lines_.unionByName(words_).unionByName(wrong).distinct()
 
