@@ -7,6 +7,8 @@ aggregation or an equi join.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,10 +101,17 @@ def attempt_summary(df: DataFrame, by: list[str], start: str, end: str) -> DataF
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, share: float, at_least: int) -> DataFrame:
-    """The smallest value below which at least ``share`` of the group lies; groups of fewer than
-    ``at_least`` rows have no recommendation."""
-    g = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("samples"), F.expr(f"percentile_disc({share}) within group (order by `{value}`)").alias("p"))
-    return g.filter(F.col("samples") >= at_least)
+    """(by..., samples, p): the smallest value below or at which at least ``share`` of the group lies;
+    groups of fewer than ``at_least`` rows have none. Null values do not count; null keys are keys.
+
+    The rank comes from a range sort over all partitions: an exact percentile aggregate would hold all
+    values of a group in one task."""
+    k = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("p"), k.alias("__k"), F.lit(1).cast("long").alias("__one"))
+    n = rows.groupBy("__k").agg(F.count("*").alias("samples")).filter(F.col("samples") >= at_least)
+    ranked = running_totals(rows, "__k", ["p"], "__one", "__before")
+    want = F.ceil(F.lit(Decimal(str(share))) * F.col("samples")).cast("long")
+    return ranked.join(n, "__k").filter(F.col("__before") + 1 == want).select(*by, "samples", "p")
 
 
 def batch_metrics(df: DataFrame, key: str, start: str, end: str) -> DataFrame:

@@ -10,6 +10,7 @@ from folioflux.functions.text import norm_id, norm_role
 from folioflux.operators import tracing as tr
 from folioflux.operators.hierarchy import resolve
 from folioflux.operators.latest import latest_by
+from folioflux.operators.prefix import running_totals
 from folioflux.plans.ledger_queries import held_spans
 
 S, E = "start_offset_ns", "end_offset_ns"
@@ -156,8 +157,9 @@ def span_review_passes(spark, sf):
     """Passes of reviewers and critics with both counts of findings, numbered by role within a trace."""
     d = held_spans(spark, sf, "category", "role", "findings_reported", "actionable_findings", S).withColumn("role", norm_role("role"))
     d = d.filter("category = 'intelligence' and role in ('reviewer', 'critic') and findings_reported is not null and actionable_findings is not null")
-    w = Window.partitionBy("trace_id", "role").orderBy(S, "span_id")
-    return d.select("trace_id", "span_id", "role", "findings_reported", "actionable_findings", F.row_number().over(w).alias("pass"))
+    d = d.withColumns({"key": F.concat_ws("|", "trace_id", "role"), "one": F.lit(1).cast("long")})
+    n = running_totals(d, "key", [S, "span_id"], "one")
+    return n.select("trace_id", "span_id", "role", "findings_reported", "actionable_findings", (F.col("before") + 1).cast("int").alias("pass"))
 
 
 def span_violations(spark, sf):
@@ -224,9 +226,13 @@ def run_states(spark, sf):
 def run_checkpoint_links(spark, sf):
     """Checkpoint runs with the other runs of their batch, and the cycles of the batch without one."""
     m = _runs(spark, sf).filter("batch_id is not null")
-    outer, inner = m.filter("run_type = 'checkpoint'"), m.select(F.col("run_id").alias("child"), "batch_id", F.col("cycle_id").alias("child_cycle"), F.col("scope").alias("child_scope"))
-    j = outer.join(inner, "batch_id").filter("run_id <> child and child_scope = 'project'")
-    return j.groupBy("run_id", "batch_id").agg(F.count("*").alias("children"), F.concat_ws(",", F.array_sort(F.collect_set("child_cycle"))).alias("cycles"))
+    # Counted per batch and cycle, less the run itself: no pairs of runs are formed.
+    g = m.filter("scope = 'project'").groupBy("batch_id", "cycle_id").agg(F.count("*").alias("n"))
+    g = g.groupBy("batch_id").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.when(F.col("cycle_id").isNotNull(), F.struct("cycle_id", "n")))).alias("each"))
+    mine = F.coalesce((F.col("scope") == "project").cast("long"), F.lit(0))
+    j = m.filter("run_type = 'checkpoint'").join(g, "batch_id").withColumn("children", F.col("all") - mine).filter("children > 0")
+    left = F.filter("each", lambda x: x.n > F.when(x.cycle_id == F.col("cycle_id"), mine).otherwise(0))
+    return j.select("run_id", "batch_id", "children", F.array_join(F.transform(left, lambda x: x.cycle_id), ",").alias("cycles"))
 
 
 def park_intervals(spark, sf):

@@ -52,3 +52,5 @@ def test_one_long_interval_covers_many_partitions(spark):
 def test_latest_by_takes_nulls_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None, "a", "x"), (1, 2, "b", None), (None, 1, "c", "y")], "k int, pos int, `__held` string, `a.b` string")
     assert {tuple(r) for r in latest_by(df, ["k"], "pos").collect()} == {(1, 2, "b", None), (None, 1, "c", "y")}
+    m = spark.createDataFrame([(1, 2, {"a": 1}), (1, 3, {"b": 2}), (2, None, None)], "k int, pos int, m map<string, int>")
+    assert {(r.k, r.pos, tuple((r.m or {}).items())) for r in latest_by(m, ["k"], "pos").collect()} == {(1, 3, (("b", 2),)), (2, None, ())}
