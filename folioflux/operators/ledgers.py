@@ -69,7 +69,7 @@ def current_phase(phases: DataFrame, heads_: DataFrame, owner: str) -> DataFrame
     open_ = p.select("id", F.explode("depends_on").alias("dep")).join(done, "dep", "left_anti").select("id").distinct()
     ready = p.join(open_, "id", "left_anti").filter((F.col("owner") == owner) | F.col("owner").isNull())
     best = ready.agg(F.max(F.col("owner").isNotNull()).alias("own"))
-    return ready.crossJoin(F.broadcast(best)).filter(F.col("owner").isNotNull() == F.col("own")).drop("own")  # one row on either side
+    return ready.filter(F.col("owner").isNotNull() == best.scalar())
 
 
 def log_blocks(lines: DataFrame, key: str, pos: str, text: str, header: str = r"^## ") -> DataFrame:

@@ -215,7 +215,7 @@ def run_retention(spark, sf):
     m = _runs(spark, sf).withColumn("at", tr.epoch_ns("updated_at"))
     now = m.agg(F.max("at").alias("now"))
     days = F.when(F.col("persistence_state") == "persisted", 14).otherwise(90)
-    return m.crossJoin(F.broadcast(now)).filter(F.col("at") < F.col("now") - days * F.lit(86_400_000_000_000)).select("run_id", "persistence_state", "updated_at")
+    return m.filter(F.col("at") < now.scalar() - days * F.lit(86_400_000_000_000)).select("run_id", "persistence_state", "updated_at")
 
 
 def run_states(spark, sf):
