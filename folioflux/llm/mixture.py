@@ -175,5 +175,6 @@ class Mixture:
         size = F.least(F.lit(self.block), F.col("end") + 1 - F.col("block") * self.block)
         got = u.groupBy("source").agg(F.sum(F.col("uses") * size).alias("tokens_used"), F.max("uses").alias("most_repeats"))
         out = self.sources.join(got, "source", "left").na.fill(0, ["tokens_used", "most_repeats"])
-        total = out.agg(F.sum("tokens_used").alias("total"))
-        return out.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "tokens", "tokens_used", "most_repeats", F.when(F.col("total") > 0, F.col("tokens_used") / F.col("total")).otherwise(0.0).alias("actual_share"))
+        total = out.agg(F.sum("tokens_used")).scalar()
+        share = F.when(total > 0, F.col("tokens_used") / total).otherwise(0.0)
+        return out.select("source", "target_share", "max_repeats", "tokens", "tokens_used", "most_repeats", share.alias("actual_share"))
