@@ -57,7 +57,7 @@ _NUMBER = re.compile(r"(?:[-–—\[(|.~*\s]*)(?:p(?:age|\.|g\.)?\s*)?([0-9lIOoS
 _ROMAN = re.compile(r"(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _MASK = re.compile(r"(?<![^\W_])(?:[0-9lIOoSB|]*[0-9][0-9lIOoSB|]*|[lIO|])(?![^\W_])")
 _PAGED = re.compile(r"[0-9lIOSB|]{1,5}\s{2,}\S.*|.*\S\s{2,}[0-9lIOSB|]{1,5}")
-#: Words that follow a hyphen left hanging (pre- and post-war).
+#: Words that follow a hyphen left hanging (pre- and post-war), unless the corpus knows the whole (detect-or).
 HANGING = {"and", "or", "to", "und", "oder", "bis", "et", "ou", "y", "e", "o", "i", "lub", "и", "или", "και"}
 
 
@@ -302,10 +302,10 @@ class Scan:
         return self._forms
 
     def joined(self, breaks: DataFrame) -> DataFrame:
-        """Breaks with ``item``, the whole word in lower case, and ``wrong`` if it was misread, too. Hanging hyphens are left out, and breaks
-        over a page end whose whole word the corpus does not know: what follows may be no body."""
+        """Breaks with ``item``, the whole word in lower case, and ``wrong`` if it was misread, too. Left out are breaks whose whole word
+        the corpus does not know before a word of HANGING (the hyphen hangs) or over a page end (what follows may be no body)."""
         b = breaks.withColumn("left", F.lower("left")).withColumn("right", F.lower("right"))
-        pair = b.select("left", "right").distinct().filter(~F.col("right").isin(*HANGING))
+        pair = b.select("left", "right").distinct()
         whole = materialise(pair.select("left", "right", F.concat("left", "right").alias("j"), F.concat_ws("-", "left", "right").alias("h")))
         n = self.words()
         forms = self.forms(breaks)
@@ -313,7 +313,7 @@ class Scan:
         item = F.when(F.col("nh") > F.col("nj"), F.col("h")).otherwise(F.coalesce("fixed", "j"))
         known = (F.col("nh") > 0) | (F.col("nj") > 0) | F.col("fixed").isNotNull()
         wrong = (item == F.col("fixed")) & (F.length(item) >= 4)
-        return b.join(w.select("left", "right", item.alias("item"), F.coalesce(wrong, F.lit(False)).alias("wrong"), known.alias("known")), ["left", "right"]).filter("known or not over").drop("known")
+        return b.join(w.select("left", "right", item.alias("item"), F.coalesce(wrong, F.lit(False)).alias("wrong"), known.alias("known")), ["left", "right"]).filter(F.col("known") | ~(F.col("over") | F.col("right").isin(*HANGING))).drop("known")
 
     def _scanned(self, facts: DataFrame) -> DataFrame:
         """The pages of documents that come from a scan."""

@@ -86,3 +86,11 @@ def test_many_forms_meet_the_words_in_a_join(spark, monkeypatch):
 
 def test_rebuild_without_work():
     assert rebuild("a b\nc\n\nd", [], [], {}, None) == "a b c\n\nd"
+
+
+def test_a_broken_word_may_end_like_a_word_after_a_hanging_hyphen(spark):
+    rows = [("x", "d", 1, "The old detect-\nor and sens-\n0r hold,\nboth pre-\nand post-war.\nThe end."), ("x", "e", 1, "the detector and the sensor " * 9)]
+    scan = Scan(spark.createDataFrame(rows, "origin string, doc_sha256 string, page_number long, text string"))
+    assert {tuple(r)[3:] for r in scan.cases().collect()} == {("hyphen", "detector"), ("hyphen", "sensor"), ("misread", "sensor")}
+    got = {r.doc_sha256: r.text for r in scan.repaired().collect()}
+    assert got["d"] == "The old detector and sensor hold, both pre- and post-war. The end."
