@@ -32,6 +32,22 @@ def test_consistent_form_columns(spark):
     assert lookalikes.faults(df.limit(0), "t", ["id"]).count() == 0
 
 
+def test_whole_words_of_look_alikes(spark):
+    pages = {
+        "the \u0441\u043e\u0441\u043e grows \u0430 lot, and \u0440\u0430\u0441\u0441\u0435 ends": "the coco grows a lot, and pacce ends",
+        "field \u0397 and density \u03c1 and rate \u03bd": "field H and density \u03c1 and rate \u03bd",
+        "проверка: \u043e\u0441\u0430 летит, xop x A": "проверка: \u043e\u0441\u0430 летит, xop x A",
+        "граница и oca растет": "граница и \u043e\u0441\u0430 растет",
+        "the word \u043e\u0441\u0430 here": "the word \u043e\u0441\u0430 here",
+        "The long label reads \u0397 μέθοδος here": "The long label reads \u0397 μέθοδος here",
+        "it reads ошибка, \u0430 граница in the middle": "it reads ошибка, \u0430 граница in the middle",
+    }
+    df = spark.createDataFrame([(t,) for t in pages], "t string")
+    got = {r.t: r for r in lookalikes.consistent_form(df, "t").collect()}
+    assert {t: r.form for t, r in got.items()} == pages
+    assert all(r.kinds == [] for r in got.values())
+
+
 WORDS = "Größe wäre für Höhe; été déjà près; señal año; ação não; żółć długość; “quoted” isn’t—so; проверка показывает, что граница устойчивой; μέτρηση παραμένει σταθερή; 16 m² 5 °C 3 €"
 
 
