@@ -207,9 +207,9 @@ def resolve(df: DataFrame, group: str, node: str, parent: str, position: str | N
     return out.select(F.col("g").alias(group), F.col("id").alias(node), kinds[F.substring("kind", 1, 1)].alias("kind"), "top", "depth", *(["path"] if with_paths else []))
 
 
-def descendants(resolved: DataFrame, group: str, node: str) -> DataFrame:
-    """(group, ancestor, descendant, distance), one row per pair on a path: all descendants of every
+def descendants(resolved: DataFrame, group: str, node: str, *keep: str) -> DataFrame:
+    """(group, ancestor, descendant, distance, columns of the descendant to keep), one row per pair on a path: all descendants of every
     node as a relation, so a root over millions of nodes never becomes one array in one task.
     ``resolved`` must hold paths. Nodes on circles have no descendants beyond their own row's path."""
-    pairs = resolved.select(f"`{group}`", F.col(f"`{node}`").alias("descendant"), F.col("depth").alias("d"), F.posexplode("path").alias("at", "ancestor"))
-    return pairs.filter("ancestor <> descendant").select(f"`{group}`", "ancestor", "descendant", (F.col("d") - F.col("at")).cast("long").alias("distance"))
+    pairs = resolved.select(f"`{group}`", F.col(f"`{node}`").alias("descendant"), F.col("depth").alias("d"), *keep, F.posexplode("path").alias("at", "ancestor"))
+    return pairs.filter("ancestor <> descendant").select(f"`{group}`", "ancestor", "descendant", (F.col("d") - F.col("at")).cast("long").alias("distance"), *keep)

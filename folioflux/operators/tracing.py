@@ -88,10 +88,11 @@ def zero_filled(df: DataFrame, key: str, label: str, value: str, labels: tuple[s
 
 
 def ancestors(df: DataFrame, key: str, span: str, parent: str, position: str, is_root: str | None = None) -> DataFrame:
-    """(key, span, ancestor, distance) for every span above another, from hierarchy paths."""
-    got = resolve(df, key, span, parent, position, is_root, with_paths=True).filter("kind in ('rooted', 'detached')")
-    up = got.select(key, F.col(span), F.col("depth").alias("d"), F.posexplode("path").alias("at", "ancestor"))
-    return up.filter(F.col("ancestor") != F.col(span)).select(key, span, "ancestor", (F.col("d") - F.col("at")).cast("long").alias("distance"))
+    """(key, span, ancestor, distance, kind) for every span above another, from hierarchy paths; below a
+    circle (kind below_cycle) up to its first span on the circle."""
+    got = resolve(df, key, span, parent, position, is_root, with_paths=True)
+    up = got.select(key, F.col(span), "kind", F.col("depth").alias("d"), F.posexplode("path").alias("at", "ancestor"))
+    return up.filter(F.col("ancestor") != F.col(span)).select(key, span, "ancestor", (F.col("d") - F.col("at")).cast("long").alias("distance"), "kind")
 
 
 def attempt_summary(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:

@@ -59,6 +59,13 @@ def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return descendants(got.filter("kind in ('rooted', 'detached')"), "trace_id", "span_id")
 
 
+def p3_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of a span and one below it, with the kind of the lower one; below a circle
+    (``below_cycle``) from the first span on the circle downwards."""
+    got = resolve(_linked(spark, sf), "trace_id", "span_id", "parent", "start_offset_ns", "is_root", with_paths=True)
+    return descendants(got, "trace_id", "span_id", "kind")
+
+
 _HELD = """held AS (SELECT * FROM (SELECT regexp_replace(lower(trace_id),'[^0-9a-f]','','g') trace_id, regexp_replace(lower(span_id),'[^0-9a-f]','','g') span_id,
   regexp_replace(lower(parent_span_id),'[^0-9a-f]','','g') parent, role, start_offset_ns, end_offset_ns,
   row_number() OVER (PARTITION BY regexp_replace(lower(trace_id),'[^0-9a-f]','','g'), regexp_replace(lower(span_id),'[^0-9a-f]','','g') ORDER BY ledger_pos DESC) rn FROM spans) WHERE rn = 1)"""
@@ -88,4 +95,5 @@ P3_SQL = {
     "p3_found": _P3 + "SELECT trace_id, span_id, kind, top_span_id, depth FROM res WHERE kind <> 'rooted'",
     "p3_hierarchy": _P3 + "SELECT trace_id, span_id, kind, top_span_id, depth, array_to_string(list_reverse(chain[1:depth + 1]), '/') path FROM res",
     "p3_descendants": _P3 + "SELECT trace_id, chain[CAST(d + 1 AS INT)] ancestor, span_id descendant, d distance FROM res, unnest(range(1, depth + 1)) t(d) WHERE kind IN ('rooted', 'detached')",
+    "p3_all_descendants": _P3 + "SELECT trace_id, chain[CAST(d + 1 AS INT)] ancestor, span_id descendant, d distance, kind FROM res, unnest(range(1, depth + 1)) t(d)",
 }

@@ -144,9 +144,9 @@ def span_wait_parents(spark, sf):
 
 
 def span_wait_reclassified(spark, sf):
-    """Waits that count to an intelligence span anywhere above them, per trace."""
+    """Waits that count to an intelligence span anywhere above them, per trace, where the chain ends."""
     d = held_spans(spark, sf, "parent_span_id", "category", S, E).withColumn("parent", norm_id("parent_span_id"))
-    up = tr.ancestors(d, "trace_id", "span_id", "parent", S)
+    up = tr.ancestors(d, "trace_id", "span_id", "parent", S).filter("kind in ('rooted', 'detached')")
     waits = d.filter(f"category = 'wait' and {E} > {S}").select("trace_id", "span_id", _ns(S, E).alias("n"))
     intel = d.filter("category = 'intelligence'").select("trace_id", F.col("span_id").alias("ancestor"))
     below = up.join(intel, ["trace_id", "ancestor"], "left_semi").select("trace_id", "span_id").distinct()

@@ -4,6 +4,7 @@ import pytest
 
 from folioflux.operators import hierarchy
 from folioflux.operators.hierarchy import descendants, resolve
+from folioflux.operators.tracing import ancestors
 
 
 def brute(rows):
@@ -78,3 +79,12 @@ def test_links_that_lead_everywhere_are_shortened(spark, monkeypatch, circle):
     r.shuffle(names)
     rows = [("g", names[i], names[i - 1] if i else (names[40] if circle else None), r.randrange(50), i == 0) for i in range(90)]
     check(spark, rows, partitions=6)
+
+
+def test_what_hangs_below_a_circle_has_its_pairs(spark):
+    df = spark.createDataFrame([("g", "x", "y", 0), ("g", "y", "x", 1), ("g", "a", "x", 2), ("g", "b", "a", 3), ("g", "r", None, 4), ("g", "c", "r", 5)], "g string, id string, parent string, pos long")
+    want = {("x", "a", 1, "below_cycle"), ("a", "b", 1, "below_cycle"), ("x", "b", 2, "below_cycle"), ("r", "c", 1, "rooted")}
+    got = descendants(resolve(df, "g", "id", "parent", "pos", with_paths=True), "g", "id", "kind").collect()
+    assert {(x.ancestor, x.descendant, x.distance, x.kind) for x in got} == want and len(got) == 4
+    up = ancestors(df, "g", "id", "parent", "pos").collect()
+    assert {(x.ancestor, x.id, x.distance, x.kind) for x in up} == want and len(up) == 4
