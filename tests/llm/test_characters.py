@@ -61,13 +61,35 @@ def test_utf8_misread_comes_back(name):
     assert mojibake.repair(WORDS) == (None, WORDS)
 
 
-def test_twice_garbled():
+@pytest.mark.parametrize("times", [2, 4, 6])
+def test_garbled_several_times(times):
     bad = WORDS
-    for _ in range(2):
+    for _ in range(times):
         bad = "".join(mojibake._BACK["cp1252"][b] for b in bad.encode())
     assert mojibake.repair(bad) == ("restorable", WORDS)
 
 
+def test_chains_of_both_kinds():
+    text = "Новая граница зависит от сезона, поэтому величина была измерена дважды"
+    once = "".join(mojibake._BACK["cp1251"][b] for b in text.encode("koi8-r"))
+    assert mojibake.repair(once) == ("restorable", text)
+    assert mojibake.repair("".join(mojibake._BACK["cp1252"][b] for b in once.encode())) == ("restorable", text)
+    assert mojibake.repair("".join(mojibake._BACK["koi8-r"][b] for b in text.encode("cp1251"))) == ("restorable", text)
+
+
+@pytest.mark.parametrize("name", ["gbk", "shift_jis"])
+def test_utf8_misread_as_wide(name):
+    seen = 0
+    for word in ("naïveté", "Größe", "isn’t", "“quoted”", "größere"):
+        try:
+            bad = word.encode().decode(name)
+        except UnicodeDecodeError:
+            continue  # such bytes are no text of that encoding
+        seen += 1
+        assert mojibake.repair(f"the {bad} of it") == ("restorable", f"the {word} of it")
+    assert seen
+
+
 @pytest.mark.parametrize(("text", "was", "read"), [
     ("Nowa głębokość była większa, a później długość może być różna", "iso8859-2", "latin-1"),
     ("Новая граница зависит от сезона, поэтому величина была измерена", "koi8-r", "cp1251"),
@@ -83,7 +105,7 @@ def test_lost(text):
     assert mojibake.repair(text)[0] == "lost"
 
 
-@pytest.mark.parametrize("text", ["", "SÃO BRÁULIO", "A ÂNCORA da série", "Why? Because. ¿Qué?", "https://a.b/c?d=e", "ЭТА ГРАНИЦА", "&amp; in code is html"[6:]])
+@pytest.mark.parametrize("text", ["", "SÃO BRÁULIO", "A ÂNCORA da série", "did you do this?Why", "wіth а mіхеd wоrd fоr thе sеnsоr аnd mоrе оf thеm іn thіs pаgе", "energy énergie étudions épaisseur " * 9, "动力 系统 联通 中文", "Why? Because. ¿Qué?", "https://a.b/c?d=e", "ЭТА ГРАНИЦА", "&amp; in code is html"[6:]])
 def test_not_garbled(text):
     assert mojibake.repair(text) == (None, text)
 
