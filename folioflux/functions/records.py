@@ -39,9 +39,11 @@ def first_text(body: Column | str) -> Column:
 
 
 def findings(block: Column | str) -> Column:
-    """The last fenced JSON of a block as an array of findings; null where there is none."""
-    f = F.regexp_extract_all(_c(block), F.lit(r"```json\s*\n((?s:.*?))\n```"), F.lit(1))
-    return F.from_json(F.try_element_at(f, F.lit(-1)), "array<struct<id: string, severity: string, classification: string, state: string, evidence: string>>")
+    """The findings listed in the last fenced JSON of a block, an object with ``findings``; null where
+    there is none."""
+    fences = F.regexp_extract_all(_c(block), F.lit(r"```json\s*\n((?s:.*?))\n\s*```"), F.lit(1))
+    one = "struct<id: string, severity: string, classification: string, state: string, evidence: string>"
+    return F.from_json(F.try_element_at(fences, F.lit(-1)), f"findings array<{one}>")["findings"]
 
 
 def sections_of(block: Column | str, title: str, at_least: int = 30) -> Column:

@@ -12,11 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflux.functions.text import is_blank
+from folioflux.functions.text import SPACE, is_blank
 from folioflux.operators.hierarchy import resolve
 
 #: States that may follow a state unless the caller names others; "" stands before the first.
-TRANSITIONS = {"": ("planned",), "planned": ("next", "in-progress", "cancelled"), "next": ("in-progress", "planned", "cancelled"), "in-progress": ("complete", "planned", "next", "cancelled"), "complete": ("in-progress",), "cancelled": ()}
+TRANSITIONS = {
+    "": ("not-started", "next", "in-progress", "completed"),  # the first event of a phase
+    "not-started": ("next", "in-progress"),
+    "next": ("not-started", "in-progress"),
+    "in-progress": ("in-progress", "completed"),
+    "completed": (),
+}
+# States in which a finding is still to be acted on, and marks of quoted templates.
+ACTIONABLE = ("open", "addressed", "blocked-owner")
+TEMPLATE_MARKS = ("[Specific issue]", "[One or two sentences", "\n## Rules", "Followed in the `REVISE` case", "=== ")
 
 
 def rational(c: Column | str) -> Column:
@@ -29,26 +38,53 @@ def rational(c: Column | str) -> Column:
     return F.when(num.isNotNull(), F.struct(num.alias("n"), den.alias("d")))
 
 
-def rational_rank(df: DataFrame, order: str, *ties: str) -> DataFrame:
-    """Adds ``rank`` by exact rational order: a fraction's double may round, so ties of doubles are
-    put in order by the exact whole part and remainder over a common scale."""
+def rational_key(order: Column | str) -> Column:
+    """A key that sorts as the exact fractions do: the terms of the continued fraction, every second one
+    negative, closed by infinity. Null for no number."""
     r = rational(order)
-    exact = F.floor(r["n"].cast("decimal(38,0)") * F.lit(10**18).cast("decimal(38,0)") / r["d"].cast("decimal(38,0)"))
-    w = Window.orderBy(exact.asc_nulls_last(), *ties)  # a phase list, not a data table
+    start = F.struct(r["n"].alias("n"), r["d"].alias("d"), F.array().cast("array<bigint>").alias("a"))
+    sign = lambda a: F.when(F.size(a) % 2 == 0, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
+
+    def step(acc: Column, _: Column) -> Column:
+        n, d, a = acc["n"], acc["d"], acc["a"]
+        rest = F.pmod(n, F.nullif(d, F.lit(0)))
+        term = F.floor((n - rest).cast("decimal(19,0)") / F.nullif(d, F.lit(0)).cast("decimal(19,0)")).cast("long")
+        return F.when(d == 0, acc).otherwise(F.struct(d.alias("n"), rest.alias("d"), F.concat(a, F.array(sign(a) * term)).alias("a")))
+
+    # fractions of 15 digits have under 80 terms
+    key = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda acc: F.concat(acc["a"], F.array(sign(acc["a"]) * F.lit(2**63 - 1))))
+    return F.when(r.isNotNull(), key)
+
+
+def rational_rank(df: DataFrame, order: str, *ties: str) -> DataFrame:
+    """Adds ``rank`` by exact rational order, what is no number last. A list of phases, not a data table."""
+    w = Window.orderBy(rational_key(order).asc_nulls_last(), *ties)
     return df.withColumn("rank", F.row_number().over(w))
 
 
 def event_violations(events: DataFrame, transitions: dict[str, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
     """(phase, code) of a ledger of events (id, phase, previous, from_state, state): not one first
     event, a predecessor that is missing or of another phase, a fork, a wrong or illegal state, a
-    circle of predecessors."""
-    e = events.select("id", "phase", "previous", F.coalesce("from_state", F.lit("")).alias("from_state"), "state")
-    p = e.select(F.col("id").alias("previous"), F.col("phase").alias("p_phase"), F.col("state").alias("p_state"))
+    circle of predecessors. Where the ledger has these columns: work without owner or claim, a phase that
+    changed hands without release and claim, a completion without acceptance, no writer or reason."""
+    has = lambda *names: set(names) <= set(events.columns)
+    e = events.select("id", "phase", "previous", F.coalesce("from_state", F.lit("")).alias("from_state"), "state", *[c for c in ("owner", "claim", "release", "acceptance", "writer", "reason") if has(c)])
+    p = e.select(F.col("id").alias("previous"), F.col("phase").alias("p_phase"), F.col("state").alias("p_state"), *([F.col("owner").alias("p_owner")] if has("owner") else []))
+    no = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    later = F.col("previous").isNotNull()
     j = e.join(p, "previous", "left")
     legal = F.create_map(*[x for k, v in transitions.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]) if v else F.array().cast("array<string>"))])
     rules = [
         (F.col("previous").isNotNull() & F.col("p_phase").isNull(), "missing-predecessor"), (F.col("p_phase") != F.col("phase"), "foreign-predecessor"), (F.col("p_state") != F.col("from_state"), "wrong-from-state"),
         (~F.coalesce(F.array_contains(F.try_element_at(legal, F.when(F.col("previous").isNull(), "").otherwise(F.col("from_state"))), F.col("state")), F.lit(False)), "illegal-transition")]
+    if has("owner", "claim"):
+        rules.append((later & (F.col("state") == "in-progress") & (no("owner") | no("claim")), "unclaimed-work"))
+    if has("owner", "claim", "release"):
+        rules.append((later & ~no("p_owner") & ~F.col("owner").eqNullSafe(F.col("p_owner")) & (no("release") | no("claim")), "unreleased-handoff"))
+    if has("acceptance"):
+        rules.append((later & (F.col("state") == "completed") & no("acceptance"), "unaccepted-completion"))
+    if has("writer", "reason"):
+        rules.append((no("writer") | no("reason"), "unattributed"))
     bad = j.select("phase", F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for c, k in rules]), lambda x: x.isNotNull())).alias("code"))
     forks = e.filter("previous is not null").groupBy("phase", "previous").agg(F.count("*").alias("n")).filter("n > 1").select("phase", F.lit("fork").alias("code"))
     first = e.groupBy("phase").agg(F.count_if(F.col("previous").isNull()).alias("n")).filter("n <> 1").select("phase", F.lit("not-one-genesis").alias("code"))
@@ -64,7 +100,7 @@ def heads(events: DataFrame) -> DataFrame:
 def current_phase(phases: DataFrame, heads_: DataFrame, owner: str) -> DataFrame:
     """The owner's ``next`` phase, else the unassigned one, with all it depends on complete."""
     state = heads_.select(F.col("phase").alias("id"), "state", "owner")
-    done = heads_.filter("state = 'complete'").select(F.col("phase").alias("dep"))
+    done = heads_.filter("state = 'completed'").select(F.col("phase").alias("dep"))
     p = phases.join(state, "id").filter("state = 'next'")
     open_ = p.select("id", F.explode("depends_on").alias("dep")).join(done, "dep", "left_anti").select("id").distinct()
     ready = p.join(open_, "id", "left_anti").filter((F.col("owner") == owner) | F.col("owner").isNull())
@@ -72,6 +108,38 @@ def current_phase(phases: DataFrame, heads_: DataFrame, owner: str) -> DataFrame
     return ready.filter(F.col("owner").isNotNull() == best.scalar())
 
 
+def graph_violations(phases: DataFrame, heads_: DataFrame) -> DataFrame:
+    """(phase, code) of a phase graph (id, order, depends_on, parent) with the last event of each phase
+    (phase, state, owner): no event, unknown or own targets, a dependency ordered after what depends on it,
+    a circle, work before what it depends on is completed, completion before that of a child, and several
+    phases selected next for one owner."""
+    key = F.struct(rational_key("order").alias("o"), F.col("id"))
+    h = heads_.select(F.col("phase").alias("id"), "state", "owner")
+    p = phases.select("id", "parent", "depends_on", key.alias("key")).join(h, "id", "left")
+    dep = p.select("id", "state", "key", F.explode("depends_on").alias("to"), F.lit("dependency").alias("by"))
+    link = dep.unionByName(p.filter("parent is not null").select("id", "state", "key", F.col("parent").alias("to"), F.lit("parent").alias("by")))
+    there = p.select(F.col("id").alias("to"), F.col("state").alias("to_state"), F.col("key").alias("to_key"), F.lit(True).alias("known"))
+    j = link.join(there, "to", "left")
+    works = F.col("state").isin("in-progress", "completed")
+    of = F.col("by") == "dependency"
+    rules = [(F.col("known").isNull() & of, "unknown-dependency"), (F.col("known").isNull() & ~of, "unknown-parent"), (F.col("id") == F.col("to"), "self-cycle"), (of & (F.col("to_key") > F.col("key")), "dependency-ordered-after"), (of & works & F.col("known") & ~F.col("to_state").eqNullSafe("completed"), "work-precedes-dependency")]
+    bad = j.select(F.col("id").alias("phase"), F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for c, k in rules]), lambda x: x.isNotNull())).alias("code"))
+    early = j.filter(~of & (F.col("to_state") == "completed") & ~F.col("state").eqNullSafe("completed")).select(F.col("to").alias("phase"), F.lit("incomplete-child").alias("code"))
+    lost = p.filter("state is null").select(F.col("id").alias("phase"), F.lit("no-genesis").alias("code"))
+    # several phases without an owner selected next are several for one owner, too
+    twice = h.filter("state = 'next'").withColumn("n", F.count("*").over(Window.partitionBy("owner"))).filter("n > 1").select(F.col("id").alias("phase"), F.lit("several-next").alias("code"))
+    # what is left when phases without open targets are taken away, again and again, lies on or above a circle
+    left = j.filter("known").select("id", "to").distinct().checkpoint()
+    n = left.count()
+    while n:
+        left = left.join(left.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("id", "to").checkpoint()
+        n, before = left.count(), n
+        if n == before:
+            break
+    loops = left.select(F.col("id").alias("phase"), F.lit("graph-cycle").alias("code")) if n else bad.limit(0)
+    return bad.unionByName(early).unionByName(lost).unionByName(twice).unionByName(loops).distinct()
+
+
 def log_blocks(lines: DataFrame, key: str, pos: str, text: str, header: str = r"^## ") -> DataFrame:
     """Blocks of a log from one header line to the next, with the digest of their text and whether the
     block's time goes back behind the one before."""
@@ -98,17 +166,22 @@ def lesson_state(lessons: DataFrame, as_of: Column, at_least: int = 3, days: int
 
 
 def normal_verdict(block: Column | str) -> Column:
-    """Escapes taken back, white space collapsed, the first 1,500 characters."""
-    t = F.regexp_replace(F.regexp_replace(F.col(block) if isinstance(block, str) else block, r"\\n", "\n"), r'\\"', '"')
-    return F.left(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(1500))
+    """Escaped line ends and quotes taken back, each stretch of white space one space, the first 1,500 characters."""
+    t = F.replace(F.replace(F.col(block) if isinstance(block, str) else block, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
+    return F.left(F.regexp_replace(t, rf"{SPACE}+", " "), F.lit(1500))
 
 
 def genuine_verdict(block: Column | str) -> Column:
-    """A verdict and no echo of its template: header at the start, no marks of the template, fewer than
-    three line-number prefixes, no prefix of a search tool."""
+    """A verdict and no quotation: its header line alone comes first, no mark of the template stands in it,
+    fewer than three lines begin with a line number, and none carries the prefix of a searched file."""
     b = F.col(block) if isinstance(block, str) else block
-    numbered = F.size(F.regexp_extract_all(b, F.lit(r"(?m)^\s*\d+[:|\t]"), F.lit(0)))
-    return b.rlike(r"^\s*\**(?:## )?Verdict:") & ~b.rlike(r"<[A-Z_ |]+>|APPROVE\s*\|\s*REVISE") & (numbered < 3) & ~b.rlike(r"^[\w./-]+:\d+:")
+    lines = F.split(b, "\n")
+    head = F.regexp_replace(F.get(lines, F.lit(0)), r"\s+$", "")
+    # the header may be followed by empty lines, but a line must end after it
+    starts = head.isin("## Verdict: APPROVED", "## Verdict: REVISE") & (F.size(lines) > 1)
+    quoted = F.filter(lines, lambda x: x.rlike(r"^\s*\d+[\t:]"))
+    marks = F.exists(F.array(*[F.lit(m) for m in TEMPLATE_MARKS]), lambda m: F.contains(b, m))
+    return F.coalesce(starts & ~marks & (F.size(quoted) < 3) & ~b.rlike(r"\.(?:md|py|toml|yaml)-\d+-"), F.lit(False))
 
 
 def first_seen(df: DataFrame, digest: list[str], order: list[str]) -> DataFrame:
@@ -120,7 +193,7 @@ def first_seen(df: DataFrame, digest: list[str], order: list[str]) -> DataFrame:
 
 def reaimed(findings: DataFrame) -> DataFrame:
     """Ids whose evidence changed among findings still to be acted on."""
-    f = findings.filter(F.col("state").isin("open", "actionable", "accepted"))
+    f = findings.filter(F.col("state").isin(*ACTIONABLE))
     return f.groupBy("project", "source", "kind", "id").agg(F.countDistinct("evidence").alias("evidences")).filter("evidences > 1")
 
 

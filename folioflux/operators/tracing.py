@@ -11,11 +11,11 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioflux.operators.hierarchy import resolve
 from folioflux.operators.islands import periods_and_gaps
 from folioflux.operators.prefix import running_totals
+from folioflux.operators.sweep import strongest_time
 
 CATEGORIES = ("run", "intelligence", "gate", "reconciliation", "wait")
 OUTCOMES = ("success", "error", "timeout", "cancelled", "interrupted")
@@ -35,7 +35,8 @@ def peak_concurrency(df: DataFrame, key: str, start: str, end: str, out: str = "
     overlap it. Intervals with a null bound are left out."""
     at = df.select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e")).filter("s is not null and e is not null")
     events = at.select("k", F.col("s").alias("t"), F.lit(1).cast("long").alias("d")).unionByName(at.select("k", F.col("e").alias("t"), F.lit(-1).cast("long").alias("d")))
-    run = running_totals(events, "k", ["t", "d"], "d")
+    # one row per moment: what ends there goes before what starts there, so only the sum counts
+    run = running_totals(events.groupBy("k", "t").agg(F.sum("d").alias("d")), "k", ["t"], "d")
     return run.groupBy(F.col("k").alias(key)).agg(F.greatest(F.max(F.col("before") + F.col("d")), F.lit(0)).alias(out))
 
 
@@ -51,34 +52,21 @@ def group_concurrency(df: DataFrame, key: str, group: str, start: str, end: str)
 
 
 def coverage(df: DataFrame, key: str, start: str, end: str, root: Column, failed: Column, retried: Column) -> DataFrame:
-    """Per key: makespan of the root, time covered by the others, what is unattributed, and the time
-    under failed and under repeated spans."""
+    """Per key: makespan of the root, time covered by the other spans, what is unattributed, and the time
+    under failed and under repeated ones of them. One range sort serves the three unions."""
+    z = lambda c: F.coalesce(c, F.lit(False))
     base = df.groupBy(key).agg(F.max(F.when(root, F.col(end) - F.col(start))).alias("makespan_ns"))
-    for name, cond in (("covered_ns", ~root), ("failed_ns", failed), ("retried_ns", retried)):
-        base = base.join(interval_union(df.filter(cond), [key], start, end, name), key, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return base.select(key, "makespan_ns", z("covered_ns").alias("covered_ns"), F.greatest(F.col("makespan_ns") - z("covered_ns"), F.lit(0)).alias("unattributed_ns"), z("failed_ns").alias("failed_ns"), z("retried_ns").alias("retried_ns"))
-
-
-def exclusive_attribution(df: DataFrame, key: str, span: str, start: str, end: str, depth: str, label: str, bins: int = 64) -> DataFrame:
-    """Per key and label the time in which a span of that label was the one at work: among the spans
-    open in an atomic interval the deepest, then the shortest, then the one with the largest id.
-
-    Atomic intervals are joined to the spans that cover them within (key, bin of time), so a key with
-    very many spans is spread over bins instead of being one group."""
-    d = df.filter(F.col(start).isNotNull() & (F.col(end) > F.col(start))).select(F.col(key).alias("k"), F.col(span).alias("i"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(depth).alias("d"), F.col(label).alias("l"))
-    size = d.groupBy("k").agg(F.min("s").alias("lo"), F.greatest(F.ceil((F.max("e") - F.min("s")) / F.greatest(F.lit(1), F.ceil(F.count("*") / bins))), F.lit(1)).cast("long").alias("w"))
-    d = d.join(size, "k")
-    b = lambda c: F.floor((F.col(c) - F.col("lo")) / F.col("w")).cast("long")
-    last = F.floor((F.col("e") - 1 - F.col("lo")) / F.col("w")).cast("long")
-    parts = d.withColumn("b", F.explode(F.sequence(b("s"), last)))
-    lo, hi = F.col("lo") + F.col("b") * F.col("w"), F.col("lo") + (F.col("b") + 1) * F.col("w")
-    parts = parts.withColumn("s1", F.greatest("s", lo)).withColumn("e1", F.least("e", hi))
-    points = parts.select("k", "b", F.explode(F.array("s1", "e1")).alias("t")).distinct()
-    atoms = points.withColumn("u", F.lead("t").over(Window.partitionBy("k", "b").orderBy("t"))).filter("u is not null")
-    hit = atoms.join(parts, (atoms.k == parts.k) & (atoms.b == parts.b) & (parts.s1 <= atoms.t) & (parts.e1 >= atoms.u)).select(atoms.k, atoms.t, atoms.u, "d", (F.col("e") - F.col("s")).alias("n"), "i", "l")
-    won = hit.groupBy("k", "t", "u").agg(F.max_by("l", F.struct("d", -F.col("n"), F.col("i"))).alias("l"))
-    return won.groupBy(F.col("k").alias(key), F.col("l").alias(label)).agg(F.sum(F.col("u") - F.col("t")).alias("exclusive_ns"))
+    what = F.filter(F.array(F.lit("covered_ns"), F.when(z(failed), F.lit("failed_ns")), F.when(z(retried), F.lit("retried_ns"))), lambda x: x.isNotNull())
+    parts = interval_union(df.filter(~z(root)).select(key, start, end, F.explode(what).alias("what")), [key, "what"], start, end)
+    g = parts.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("what") == c, F.col("union_ns"))), F.lit(0)).alias(c) for c in ("covered_ns", "failed_ns", "retried_ns")])
+    j = base.join(g, key, "left").na.fill(0, ["covered_ns", "failed_ns", "retried_ns"])
+    return j.select(key, "makespan_ns", "covered_ns", F.greatest(F.col("makespan_ns") - F.col("covered_ns"), F.lit(0)).alias("unattributed_ns"), "failed_ns", "retried_ns")
+
+
+def exclusive_attribution(df: DataFrame, key: str, span: str, start: str, end: str, depth: str, label: str, partitions: int | None = None) -> DataFrame:
+    """Per key and label the time in which a span of that label was the one at work: among those open the
+    deepest, then the shortest, then the one with the largest id. See :mod:`folioflux.operators.sweep`."""
+    return strongest_time(df, key, span, start, end, depth, label, "exclusive_ns", partitions)
 
 
 def zero_filled(df: DataFrame, key: str, label: str, value: str, labels: tuple[str, ...]) -> DataFrame:
@@ -108,28 +96,39 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, share: float, at_leas
     The rank comes from a range sort over all partitions: an exact percentile aggregate would hold all
     values of a group in one task."""
     k = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("p"), k.alias("__k"), F.lit(1).cast("long").alias("__one"))
-    n = rows.groupBy("__k").agg(F.count("*").alias("samples")).filter(F.col("samples") >= at_least)
+    # equal values are counted first: a range sort cannot split them
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("p")).agg(F.count("*").alias("__one")).withColumn("__k", k)
+    n = rows.groupBy("__k").agg(F.sum("__one").alias("samples")).filter(F.col("samples") >= at_least)
     ranked = running_totals(rows, "__k", ["p"], "__one", "__before")
     want = F.ceil(F.lit(Decimal(str(share))) * F.col("samples")).cast("long")
-    return ranked.join(n, "__k").filter(F.col("__before") + 1 == want).select(*by, "samples", "p")
+    return ranked.join(n, "__k").filter((F.col("__before") < want) & (want <= F.col("__before") + F.col("__one"))).select(*by, "samples", "p")
 
 
-def batch_metrics(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Per batch: members launched, committed, quarantined, failed and retried, their summed and
-    united work, and the wall time per committed member."""
-    d = df.filter(F.col(key).isNotNull())
-    op = F.col("operation")
+def batch_metrics(children: DataFrame, roots: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """The 18 figures of each batch. ``roots``: (key, makespan_ns), one row per batch; ``children``: the
+    spans below the root with category, operation, attempt and outcome. A member is an intelligence span of
+    operation role.cycle.<8 hex digits>, its attempts those of the same digits; batch.commit.<member>
+    that succeeded commits it, batch.quarantine.<member> sets it apart, batch.telemetry-incomplete.<member>
+    tells that its figures lack something. Committed work is that of all attempts of committed members."""
     took = F.col(end) - F.col(start)
-    who = F.coalesce(F.col("role"), op)
-    member = F.col("category") == "intelligence"
-    per = d.filter(member).groupBy(key, who.alias("who")).agg(F.count("*").alias("tries"), F.max("attempt").alias("top"), F.bool_and(F.col("outcome") != "success").alias("lost"), F.sum(took).alias("work"))
-    m = per.groupBy(key).agg(F.count("*").alias("launched"), F.count_if("lost").alias("failed"), F.count_if((F.col("tries") > 1) | (F.col("top") > 1)).alias("retried"), F.sum("work").alias("summed_ns"), F.sum(F.when(~F.col("lost"), F.col("work"))).alias("good_ns"), F.count_if(~F.col("lost")).alias("good"))
-    span = d.groupBy(key).agg((F.max(end) - F.min(start)).alias("makespan_ns"))
-    u = interval_union(d.filter(member), [key], start, end)
-    j = span.join(m, key).join(u, key, "left")
-    return j.select(key, "makespan_ns", "launched", "failed", "retried", "summed_ns", F.coalesce("good_ns", F.lit(0)).alias("committed_ns"), F.expr("case when good > 0 then makespan_ns div good end").alias("wall_per_committed_ns"),
-                    F.when(F.col("good") == 0, "no committed members").alias("reason"), F.coalesce("union_ns", F.lit(0)).alias("union_ns"), F.expr("try_divide(good_ns, makespan_ns)").alias("speedup"))
+    op = F.col("operation")
+    named = lambda prefix: F.when(op.startswith(prefix), F.substr(op, F.lit(len(prefix) + 1)))
+    cycle = F.when(F.col("category") == "intelligence", F.nullif(F.regexp_extract(op, "^role\\.cycle\\.([0-9a-f]{8})$", 1), F.lit("")))
+    d = children.select(F.col(key), F.col(start).alias("s"), F.col(end).alias("e"), took.alias("n"), "attempt", "outcome", cycle.alias("cycle"), F.when(F.col("outcome") == "success", named("batch.commit.")).alias("commit"), named("batch.quarantine.").alias("aside"), named("batch.telemetry-incomplete.").alias("lacks"))
+    mine = d.filter("cycle is not null")
+    done = d.filter("commit is not null").select(key, F.col("commit").alias("cycle"), F.lit(True).alias("done")).distinct()
+    per = mine.groupBy(key, "cycle").agg(F.count("*").alias("tries"), F.max("attempt").alias("top"), F.bool_and(F.col("outcome") != "success").alias("lost"), F.sum("n").alias("work"), F.min("s").alias("s"), F.max("e").alias("e"))
+    m = per.join(done, [key, "cycle"], "left").groupBy(key).agg(
+        F.count("*").alias("launched"), F.count_if("lost").alias("failed"), F.count_if((F.col("tries") > 1) | (F.col("top") > 1)).alias("retried"), F.sum("work").alias("summed"), F.sum(F.when(F.col("done"), F.col("work"))).alias("committed_work"), (F.max("e") - F.min("s")).alias("window"))
+    marks = d.groupBy(key).agg(F.countDistinct("commit").alias("committed"), F.countDistinct("aside").alias("quarantined"), F.countDistinct("lacks").alias("incomplete"))
+    j = roots.select(key, "makespan_ns").join(marks, key, "left").join(m, key, "left").join(interval_union(mine, [key], "s", "e"), key, "left").join(peak_concurrency(mine, key, "s", "e"), key, "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    span, n = F.col("makespan_ns"), z("committed")
+    return j.select(
+        key, span.alias("batch_makespan_ns"), z("launched").alias("launched_members"), n.alias("committed_members"), z("quarantined").alias("quarantined_members"), z("failed").alias("failed_members"), z("retried").alias("retried_members"), z("incomplete").alias("telemetry_incomplete_members"),
+        z("summed").alias("summed_member_work_ns"), z("committed_work").alias("committed_member_work_ns"), F.when(n > 0, F.expr("makespan_ns div committed")).alias("wall_clock_per_committed_work_unit_ns"), F.when(n == 0, "no committed members").alias("wall_clock_per_committed_work_unit_reason"),
+        z("union_ns").alias("member_active_union_ns"), z("window").alias("member_window_ns"), (z("summed") - z("union_ns")).alias("overlap_ns"), z("peak").alias("peak_concurrency"), F.when(z("window") > 0, z("summed") / z("window")).alias("member_work_to_window_ratio"),
+        F.when(span != 0, z("committed_work") / span).alias("observed_parallel_speedup"), F.when(span == 0, "zero batch makespan").alias("observed_parallel_speedup_reason"))
 
 
 def format_elapsed(ns: Column | str) -> Column:

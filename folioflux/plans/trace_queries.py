@@ -49,8 +49,8 @@ def span_group_concurrency(spark, sf):
 
 
 def span_coverage(spark, sf):
-    d = spans(spark, sf, "category", "outcome", "attempt")
-    return tr.coverage(d, "trace_id", S, E, F.col("category") == "run", F.col("outcome") != "success", F.col("attempt") > 1)
+    d = spans(spark, sf, "outcome", "attempt").join(roots(spark, sf), ["trace_id", "span_id"], "left")
+    return tr.coverage(d, "trace_id", S, E, F.col("is_root"), F.col("outcome") != "success", F.col("attempt") > 1)
 
 
 def _deep(spark, sf, *cols):
@@ -87,20 +87,24 @@ def span_attempt_summary(spark, sf):
 
 
 def span_role_breakdown(spark, sf):
-    d = spans(spark, sf, "category", "role", "outcome", "harness", "model").withColumn("role", norm_role("role")).filter("role is not null")
-    g = d.groupBy("role").agg(F.count("*").alias("spans"), F.count_if(F.col("outcome") != "success").alias("failed"), F.sum(_ns(S, E)).alias("summed_ns"), F.concat_ws(",", F.array_sort(F.collect_set("harness"))).alias("harnesses"), F.concat_ws(",", F.array_sort(F.collect_set("model"))).alias("models"))
-    u = tr.interval_union(d, ["trace_id", "role"], S, E).groupBy("role").agg(F.sum("union_ns").alias("union_ns"))
-    w = tr.interval_union(d.filter("category = 'wait'"), ["trace_id", "role"], S, E).groupBy("role").agg(F.sum("union_ns").alias("wait_ns"))
-    return g.join(u, "role", "left").join(w, "role", "left").na.fill(0, ["union_ns", "wait_ns"])
+    """Attempts of each role and the waits of that role right below them."""
+    d = spans(spark, sf, "category", "role", "outcome", "harness", "model", "parent_span_id").withColumn("role", norm_role("role")).filter("role is not null")
+    own = d.filter("category = 'intelligence'")
+    g = own.groupBy("role").agg(F.count("*").alias("attempt_count"), F.count_if(F.col("outcome") != "success").alias("failed_attempts"), F.sum(_ns(S, E)).alias("total_duration_ns"), F.concat_ws(",", F.array_sort(F.collect_set("harness"))).alias("harnesses"), F.concat_ws(",", F.array_sort(F.collect_set("model"))).alias("models"))
+    waits = d.filter("category = 'wait'").withColumn("parent", norm_id("parent_span_id")).join(own.select("trace_id", "role", F.col("span_id").alias("parent")), ["trace_id", "role", "parent"], "left_semi")
+    both = own.withColumn("what", F.lit("active")).unionByName(waits.drop("parent").withColumn("what", F.lit("wait")))
+    u = tr.interval_union(both, ["trace_id", "role", "what"], S, E).groupBy("role").agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("union_ns"))), F.lit(0)).alias(c) for w, c in (("active", "active_union_ns"), ("wait", "orchestrator_wait_ns"))])
+    return g.join(u, "role", "left").na.fill(0, ["active_union_ns", "orchestrator_wait_ns"])
 
 
 def span_p95_limits(spark, sf):
-    """95 % rank of successful spans by role, model and effort, and the limit recommended from it."""
-    d = spans(spark, sf, "category", "role", "model", "effort", "outcome").filter("outcome = 'success' and category = 'intelligence'").withColumn("took", _ns(S, E))
-    for c in ("model", "effort"):
+    """95 % rank of the durations of complete samples by role, venue, model and effort, and the limit
+    recommended from it. Complete: successful, of a role, with a duration that is not negative."""
+    d = spans(spark, sf, "category", "role", "harness", "model", "effort", "outcome", "duration_ns").filter("outcome = 'success' and category = 'intelligence' and duration_ns >= 0")
+    for c in ("harness", "model", "effort"):
         d = d.withColumn(c, F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("default")))
-    g = tr.nearest_rank(d.withColumn("role", norm_role("role")).filter("role is not null"), ["role", "model", "effort"], "took", 0.95, 5)
-    return g.select("role", "model", "effort", "samples", F.col("p").cast("long").alias("p95_ns"), F.greatest(F.lit(60_000_000_000), F.ceil(F.col("p") * 1.5).cast("long")).alias("limit_ns"))
+    g = tr.nearest_rank(d.withColumn("role", norm_role("role")).filter("role is not null"), ["role", "harness", "model", "effort"], "duration_ns", 0.95, 5)
+    return g.select("role", F.col("harness").alias("venue"), "model", "effort", "samples", F.col("p").cast("long").alias("p95_ns"), F.greatest(F.lit(60_000_000_000), F.ceil(F.col("p") * 1.5).cast("long")).alias("limit_ns"))
 
 
 def span_token_references(spark, sf):
@@ -110,7 +114,16 @@ def span_token_references(spark, sf):
 
 
 def span_batch_metrics(spark, sf):
-    return tr.batch_metrics(spans(spark, sf, "category", "operation", "role", "attempt", "outcome", "batch_id"), "batch_id", S, E)
+    """Each trace as a batch. Its operations are put into the form batches have: the attempts of a role are
+    a member's, a merge by that role commits the member, sets it apart if cancelled, lacks telemetry if
+    interrupted. A member goes by the first eight digits of its role's digest."""
+    d = spans(spark, sf, "category", "operation", "role", "attempt", "outcome").withColumn("role", norm_role("role"))
+    root = d.join(roots(spark, sf), ["trace_id", "span_id"]).groupBy("trace_id").agg(F.max(_ns(S, E)).alias("makespan_ns"))
+    named = F.col("role").isNotNull()
+    verb = F.when(F.col("outcome") == "cancelled", "batch.quarantine.").when(F.col("outcome") == "interrupted", "batch.telemetry-incomplete.").otherwise("batch.commit.")
+    prefix = F.when(named & (F.col("category") == "intelligence"), "role.cycle.").when(named & (F.col("operation") == "merge.batch"), verb)
+    d = d.withColumn("operation", F.coalesce(F.concat(prefix, F.left(F.md5("role"), F.lit(8))), "operation"))
+    return tr.batch_metrics(d.join(roots(spark, sf), ["trace_id", "span_id"], "left_anti"), root, "trace_id", S, E)
 
 
 def span_recent_traces(spark, sf):
@@ -211,11 +224,11 @@ def run_unreported(spark, sf):
 
 
 def run_retention(spark, sf):
-    """Runs past their time by the latest update of the table: 14 days if persisted, else 90."""
+    """Runs past their time by the latest update of the table: 14 days in the state persisted, else 90."""
     m = _runs(spark, sf).withColumn("at", tr.epoch_ns("updated_at"))
     now = m.agg(F.max("at").alias("now"))
-    days = F.when(F.col("persistence_state") == "persisted", 14).otherwise(90)
-    return m.filter(F.col("at") < now.scalar() - days * F.lit(86_400_000_000_000)).select("run_id", "persistence_state", "updated_at")
+    days = F.when(F.col("lifecycle_state") == "persisted", 14).otherwise(90)
+    return m.filter(F.col("at") < now.scalar() - days * F.lit(86_400_000_000_000)).select("run_id", "lifecycle_state", "updated_at")
 
 
 def run_states(spark, sf):
@@ -224,15 +237,22 @@ def run_states(spark, sf):
 
 
 def run_checkpoint_links(spark, sf):
-    """Checkpoint runs with the other runs of their batch, and the cycles of the batch without one."""
-    m = _runs(spark, sf).filter("batch_id is not null")
-    # Counted per batch and cycle, less the run itself: no pairs of runs are formed.
-    g = m.filter("scope = 'project'").groupBy("batch_id", "cycle_id").agg(F.count("*").alias("n"))
-    g = g.groupBy("batch_id").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.when(F.col("cycle_id").isNotNull(), F.struct("cycle_id", "n")))).alias("each"))
-    mine = F.coalesce((F.col("scope") == "project").cast("long"), F.lit(0))
-    j = m.filter("run_type = 'checkpoint'").join(g, "batch_id").withColumn("children", F.col("all") - mine).filter("children > 0")
-    left = F.filter("each", lambda x: x.n > F.when(x.cycle_id == F.col("cycle_id"), mine).otherwise(0))
-    return j.select("run_id", "batch_id", "children", F.array_join(F.transform(left, lambda x: x.cycle_id), ",").alias("cycles"))
+    """Reports of checkpoints with the other project reports of their batch, and the cycles expected in the
+    batch that none of those covers."""
+    d = spans(spark, sf, "run_type", "batch_id").join(roots(spark, sf), ["trace_id", "span_id"])
+    b = read(spark, sf, "trace_bundles").select(norm_id("trace_id").alias("trace_id"), (F.col("scope") == "project").alias("project")).groupBy("trace_id").agg(F.bool_or("project").alias("project"))
+    r = d.groupBy("trace_id").agg(F.max("run_type").alias("run_type"), F.max("batch_id").alias("batch_id"), F.max(_ns(S, E)).alias("n")).filter("batch_id is not null").join(b, "trace_id")
+    # Counted per batch and per batch and cycle, less the checkpoint itself: no pairs of reports are formed.
+    child = r.filter("project")
+    sums = child.groupBy("batch_id").agg(F.count("*").alias("all"), F.sum("n").alias("work"))
+    m = _runs(spark, sf).filter("cycle_id is not null")
+    links = m.select("trace_id", "cycle_id").distinct().join(child.select("trace_id", "batch_id"), "trace_id").groupBy("batch_id", "cycle_id").agg(F.count("*").alias("n"), F.min("trace_id").alias("only"))
+    want = m.filter("batch_id is not null").select("batch_id", "cycle_id").distinct().join(links, ["batch_id", "cycle_id"], "left").filter("n is null or n = 1")
+    want = want.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("cycle_id", "only"))).alias("open"))
+    j = r.filter("run_type = 'checkpoint'").join(sums, "batch_id", "left").join(want, "batch_id", "left")
+    mine = F.col("project").cast("long")
+    missing = F.transform(F.filter("open", lambda x: x.only.isNull() | (x.only == F.col("trace_id"))), lambda x: x.cycle_id)
+    return j.select(F.col("batch_id").alias("checkpoint_id"), F.col("trace_id").alias("outer_trace_id"), F.col("n").alias("outer_makespan_ns"), (F.coalesce("all", F.lit(0)) - mine).alias("children"), (F.coalesce("work", F.lit(0)) - mine * F.col("n")).alias("summed_child_work_ns"), F.coalesce(F.array_join(missing, ","), F.lit("")).alias("missing_child_cycles"))
 
 
 def park_intervals(spark, sf):
@@ -244,10 +264,14 @@ def park_totals(spark, sf):
 
 
 def park_violations(spark, sf):
-    """Parks whose events are not one opening followed by at most one closing."""
-    e = read(spark, sf, "park_events").select("park_id", "event", "at").distinct()
-    g = e.groupBy("park_id").agg(F.count_if(F.col("event") == "open").alias("opens"), F.count_if(F.col("event") == "close").alias("closes"), F.min(F.when(F.col("event") == "open", F.col("at"))).alias("o"), F.min(F.when(F.col("event") == "close", F.col("at"))).alias("c"))
-    return g.filter("opens <> 1 or closes > 1 or c < o").select("park_id", "opens", "closes")
+    """Parks whose events are not one opening followed by one closing of the same park in the same boot."""
+    e = read(spark, sf, "park_events").select("park_id", "event", "at", "boot_id", "phase_id", "reason").distinct()
+    of = lambda kind, x: F.min(F.when(F.col("event") == kind, x))
+    who = F.concat_ws("|", F.coalesce("phase_id", F.lit("-")), F.coalesce("reason", F.lit("-")))
+    g = e.groupBy("park_id").agg(F.count_if(F.col("event") == "open").alias("opens"), F.count_if(F.col("event") == "close").alias("closes"), of("open", F.col("at")).alias("o"), of("close", F.col("at")).alias("c"), F.countDistinct("boot_id").alias("boots"), F.countDistinct(who).alias("names"))
+    rules = [(F.col("opens") != 1, "not-one-opening"), (F.col("closes") > 1, "closed-again"), (F.col("closes") == 0, "still-open"), (F.col("c") < F.col("o"), "closed-before"), (F.col("boots") > 1, "other-boot"), (F.col("names") > 1, "other-identity")]
+    codes = F.concat_ws(",", *[F.when(c, F.lit(k)) for c, k in rules])
+    return g.select("park_id", "opens", "closes", codes.alias("codes")).filter("codes <> ''")
 
 
 def phase_index(spark, sf):
@@ -315,22 +339,27 @@ SQL = {
     "span_group_concurrency": f"""WITH {H}, q AS (SELECT * FROM v WHERE concurrency_group IS NOT NULL), {_union('q', 'trace_id, concurrency_group')}, {_peak('q', 'trace_id, concurrency_group')},
 g AS (SELECT trace_id, concurrency_group, count(*) spans, CAST(sum(e - s) AS BIGINT) summed_ns, max(e) - min(s) window_ns FROM q GROUP BY ALL)
 SELECT g.*, coalesce(union_ns, 0) union_ns, summed_ns - coalesce(union_ns, 0) overlap_ns, peak, CASE WHEN window_ns > 0 THEN summed_ns / window_ns ELSE 0.0 END ratio FROM g LEFT JOIN u USING (trace_id, concurrency_group) LEFT JOIN p USING (trace_id, concurrency_group)""",
-    "span_coverage": f"""WITH {H}, q1 AS (SELECT * FROM v WHERE category <> 'run'), q2 AS (SELECT * FROM v WHERE outcome <> 'success'), q3 AS (SELECT * FROM v WHERE attempt > 1), {_union('q1', 'trace_id', 'a')}, {_union('q2', 'trace_id', 'b')}, {_union('q3', 'trace_id', 'c')},
-g AS (SELECT trace_id, max(e - s) FILTER (category = 'run') makespan_ns FROM v GROUP BY 1) SELECT g.trace_id, makespan_ns, coalesce(a.union_ns, 0) covered_ns, greatest(makespan_ns - coalesce(a.union_ns, 0), 0) unattributed_ns, coalesce(b.union_ns, 0) failed_ns, coalesce(c.union_ns, 0) retried_ns FROM g LEFT JOIN a USING (trace_id) LEFT JOIN b USING (trace_id) LEFT JOIN c USING (trace_id)""",
+    "span_coverage": f"""WITH {H}, {R}, vr AS (SELECT v.*, r.span_id IS NOT NULL is_root FROM v LEFT JOIN r USING (trace_id, span_id)), q1 AS (SELECT * FROM vr WHERE NOT is_root), q2 AS (SELECT * FROM q1 WHERE outcome <> 'success'), q3 AS (SELECT * FROM q1 WHERE attempt > 1), {_union('q1', 'trace_id', 'a')}, {_union('q2', 'trace_id', 'b')}, {_union('q3', 'trace_id', 'c')},
+g AS (SELECT trace_id, max(e - s) FILTER (is_root) makespan_ns FROM vr GROUP BY 1) SELECT g.trace_id, makespan_ns, coalesce(a.union_ns, 0) covered_ns, greatest(makespan_ns - coalesce(a.union_ns, 0), 0) unattributed_ns, coalesce(b.union_ns, 0) failed_ns, coalesce(c.union_ns, 0) retried_ns FROM g LEFT JOIN a USING (trace_id) LEFT JOIN b USING (trace_id) LEFT JOIN c USING (trace_id)""",
     "span_exclusive_attribution": f"WITH RECURSIVE {H}, {_DEPTH}, {_exclusive('dp', 'category')} SELECT t.trace_id, c.category, coalesce(exclusive_ns, 0) exclusive_ns FROM (SELECT DISTINCT trace_id FROM dp) t CROSS JOIN (SELECT unnest({list(tr.CATEGORIES)}) category) c LEFT JOIN x USING (trace_id, category)",
     "span_gate_exclusive": f"WITH RECURSIVE {H}, {_DEPTH}, gt AS (SELECT * FROM dp WHERE category = 'gate'), {_exclusive('gt', 'operation')} SELECT operation, CAST(sum(exclusive_ns) AS BIGINT) exclusive_ns FROM x GROUP BY 1",
     "span_slowest_topk": f"WITH {H} SELECT trace_id, span_id, operation, took_ns, {_TAKE} took FROM (SELECT trace_id, span_id, operation, e - s took_ns, (e - s) // 1000000 t FROM v ORDER BY 4 DESC, span_id, trace_id LIMIT 10)",
     "span_slowest_per_phase": f"WITH {H} SELECT * FROM (SELECT scope, CAST(row_number() OVER (PARTITION BY scope ORDER BY e - s DESC, operation, trace_id, span_id) AS INT) rank, operation, trace_id, span_id, e - s took_ns FROM v) WHERE rank <= 20",
     "span_attempt_summary": f"WITH {H} SELECT operation, role, count(*) spans, max(attempt) max_attempt, count(*) FILTER (outcome <> 'success') failed, CAST(sum(e - s) AS BIGINT) summed_ns FROM v WHERE category <> 'run' GROUP BY ALL HAVING count(*) > 1 OR max(attempt) > 1",
-    "span_role_breakdown": f"""WITH {H}, q AS (SELECT * FROM v WHERE role IS NOT NULL), w AS (SELECT * FROM q WHERE category = 'wait'), {_union('q', 'trace_id, role', 'a')}, {_union('w', 'trace_id, role', 'b')},
-g AS (SELECT role, count(*) spans, count(*) FILTER (outcome <> 'success') failed, CAST(sum(e - s) AS BIGINT) summed_ns, coalesce(string_agg(DISTINCT harness, ',' ORDER BY harness), '') harnesses, coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') models FROM q GROUP BY 1)
-SELECT g.*, coalesce(x.n, 0) union_ns, coalesce(y.n, 0) wait_ns FROM g LEFT JOIN (SELECT role, CAST(sum(union_ns) AS BIGINT) n FROM a GROUP BY 1) x USING (role) LEFT JOIN (SELECT role, CAST(sum(union_ns) AS BIGINT) n FROM b GROUP BY 1) y USING (role)""",
-    "span_p95_limits": f"""WITH {H} SELECT role, model, effort, samples, p95_ns, greatest(60000000000, CAST(ceil(p95_ns * 1.5) AS BIGINT)) limit_ns FROM (SELECT role, coalesce(nullif(model, ''), 'default') model, coalesce(nullif(effort, ''), 'default') effort, count(*) samples, quantile_disc(e - s, 0.95) p95_ns FROM v WHERE outcome = 'success' AND category = 'intelligence' AND role IS NOT NULL GROUP BY 1, 2, 3) WHERE samples >= 5""",
+    "span_role_breakdown": f"""WITH {H}, q AS (SELECT * FROM v WHERE role IS NOT NULL AND category = 'intelligence'), w AS (SELECT * FROM v WHERE role IS NOT NULL AND category = 'wait' AND EXISTS (SELECT 1 FROM q WHERE q.trace_id = v.trace_id AND q.span_id = v.parent AND q.role = v.role)), {_union('q', 'trace_id, role', 'a')}, {_union('w', 'trace_id, role', 'b')},
+g AS (SELECT role, count(*) attempt_count, count(*) FILTER (outcome <> 'success') failed_attempts, CAST(sum(e - s) AS BIGINT) total_duration_ns, coalesce(string_agg(DISTINCT harness, ',' ORDER BY harness), '') harnesses, coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') models FROM q GROUP BY 1)
+SELECT g.*, coalesce(x.n, 0) active_union_ns, coalesce(y.n, 0) orchestrator_wait_ns FROM g LEFT JOIN (SELECT role, CAST(sum(union_ns) AS BIGINT) n FROM a GROUP BY 1) x USING (role) LEFT JOIN (SELECT role, CAST(sum(union_ns) AS BIGINT) n FROM b GROUP BY 1) y USING (role)""",
+    "span_p95_limits": f"""WITH {H} SELECT role, venue, model, effort, samples, p95_ns, greatest(60000000000, CAST(ceil(p95_ns * 1.5) AS BIGINT)) limit_ns FROM (SELECT role, coalesce(nullif(harness, ''), 'default') venue, coalesce(nullif(model, ''), 'default') model, coalesce(nullif(effort, ''), 'default') effort, count(*) samples, quantile_disc(duration_ns, 0.95) p95_ns FROM v WHERE outcome = 'success' AND category = 'intelligence' AND role IS NOT NULL AND duration_ns >= 0 GROUP BY 1, 2, 3, 4) WHERE samples >= 5""",
     "span_token_references": f"WITH {H} SELECT token_reference.ledger AS ledger, token_reference.cycle_id AS cycle_id, token_reference.role AS role, string_agg(DISTINCT span_id, ',' ORDER BY span_id) span_ids FROM h WHERE token_reference IS NOT NULL GROUP BY 1, 2, 3",
-    "span_batch_metrics": f"""WITH {H}, q AS (SELECT *, coalesce(raw_role, operation) who FROM v WHERE batch_id IS NOT NULL), mq AS (SELECT * FROM q WHERE category = 'intelligence'), {_union('mq', 'batch_id')},
-per AS (SELECT batch_id, who, count(*) tries, max(attempt) top, bool_and(outcome <> 'success') lost, sum(e - s) work FROM mq GROUP BY 1, 2),
-m AS (SELECT batch_id, count(*) launched, count(*) FILTER (lost) failed, count(*) FILTER (tries > 1 OR top > 1) retried, CAST(sum(work) AS BIGINT) summed_ns, CAST(sum(work) FILTER (NOT lost) AS BIGINT) good_ns, count(*) FILTER (NOT lost) good FROM per GROUP BY 1), g AS (SELECT batch_id, max(e) - min(s) makespan_ns FROM q GROUP BY 1)
-SELECT batch_id, makespan_ns, launched, failed, retried, summed_ns, coalesce(good_ns, 0) committed_ns, CASE WHEN good > 0 THEN makespan_ns // good END wall_per_committed_ns, CASE WHEN good = 0 THEN 'no committed members' END reason, coalesce(union_ns, 0) union_ns, CASE WHEN makespan_ns <> 0 THEN good_ns / makespan_ns END speedup FROM g JOIN m USING (batch_id) LEFT JOIN u USING (batch_id)""",
+    "span_batch_metrics": f"""WITH {H}, {R}, rt AS (SELECT trace_id, max(e - s) span FROM v JOIN r USING (trace_id, span_id) GROUP BY 1),
+d AS (SELECT trace_id, s, e, e - s n, attempt, outcome, CASE WHEN role IS NOT NULL AND category = 'intelligence' THEN left(md5(role), 8) END who, CASE WHEN role IS NOT NULL AND category <> 'intelligence' AND operation = 'merge.batch' THEN left(md5(role), 8) END merged FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.trace_id = v.trace_id AND r.span_id = v.span_id)),
+mq AS (SELECT * FROM d WHERE who IS NOT NULL), {_union('mq', 'trace_id')}, {_peak('mq', 'trace_id')},
+k AS (SELECT trace_id, count(DISTINCT merged) FILTER (outcome = 'success') committed, count(DISTINCT merged) FILTER (outcome = 'cancelled') quarantined, count(DISTINCT merged) FILTER (outcome = 'interrupted') lacking FROM d GROUP BY 1),
+per AS (SELECT trace_id, who, count(*) tries, max(attempt) top, bool_and(outcome <> 'success') lost, sum(n) AS "work", min(s) s, max(e) e, EXISTS (SELECT 1 FROM d c WHERE c.trace_id = mq.trace_id AND c.merged = mq.who AND c.outcome = 'success') done FROM mq GROUP BY ALL),
+m AS (SELECT trace_id, count(*) launched, count(*) FILTER (lost) failed, count(*) FILTER (tries > 1 OR top > 1) retried, CAST(sum("work") AS BIGINT) summed, CAST(coalesce(sum("work") FILTER (done), 0) AS BIGINT) good, max(e) - min(s) win FROM per GROUP BY 1)
+SELECT trace_id, span batch_makespan_ns, coalesce(launched, 0) launched_members, coalesce(committed, 0) committed_members, coalesce(quarantined, 0) quarantined_members, coalesce(failed, 0) failed_members, coalesce(retried, 0) retried_members, coalesce(lacking, 0) telemetry_incomplete_members, coalesce(summed, 0) summed_member_work_ns, coalesce(good, 0) committed_member_work_ns,
+CASE WHEN committed > 0 THEN span // committed END wall_clock_per_committed_work_unit_ns, CASE WHEN coalesce(committed, 0) = 0 THEN 'no committed members' END wall_clock_per_committed_work_unit_reason, coalesce(union_ns, 0) member_active_union_ns, coalesce(win, 0) member_window_ns, coalesce(summed, 0) - coalesce(union_ns, 0) overlap_ns, coalesce(peak, 0) peak_concurrency,
+CASE WHEN win > 0 THEN summed / win END member_work_to_window_ratio, CASE WHEN span <> 0 THEN coalesce(good, 0) / span END observed_parallel_speedup, CASE WHEN span = 0 THEN 'zero batch makespan' END observed_parallel_speedup_reason FROM rt LEFT JOIN k USING (trace_id) LEFT JOIN m USING (trace_id) LEFT JOIN u USING (trace_id) LEFT JOIN p USING (trace_id)""",
     "span_recent_traces": f"WITH b AS (SELECT DISTINCT {_T} trace_id, scope, scope_id, finalized_at FROM trace_bundles) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scope, scope_id ORDER BY finalized_at DESC, trace_id DESC) AS INT) back FROM b) WHERE back <= 5",
     "span_trace_report": f"WITH {H}, {_REPORT} SELECT * FROM rep",
     "span_rebased": f"WITH {H} SELECT trace_id, span_id, run_type, s - min(s) OVER w start_ns, e - min(s) OVER w end_ns FROM v WINDOW w AS (PARTITION BY trace_id, run_type)",
@@ -344,14 +373,18 @@ count(*) FILTER (coalesce(c.start_offset_ns < p.start_offset_ns OR c.end_offset_
     "span_category_projection": f"WITH {H}, {_union('v', 'trace_id, category')} SELECT * FROM u",
     "run_reports": f"WITH {H}, {_REPORT}, {_RUNS} SELECT run_id, m.trace_id, lifecycle_state, spans, makespan_ns, rep.trace_id IS NOT NULL complete FROM m LEFT JOIN rep ON rep.trace_id = m.trace_id",
     "run_unreported": f"WITH {_RUNS} SELECT run_id, trace_id, lifecycle_state FROM m WHERE trace_id IS NULL OR trace_id NOT IN (SELECT {_T} FROM trace_bundles)",
-    "run_retention": f"WITH {_RUNS} SELECT run_id, persistence_state, updated_at FROM m, (SELECT max({_EPOCH.format('updated_at')}) n FROM m) WHERE {_EPOCH.format('updated_at')} < n - CASE WHEN persistence_state = 'persisted' THEN 14 ELSE 90 END * 86400000000000",
+    "run_retention": f"WITH {_RUNS} SELECT run_id, lifecycle_state, updated_at FROM m, (SELECT max({_EPOCH.format('updated_at')}) n FROM m) WHERE {_EPOCH.format('updated_at')} < n - CASE WHEN lifecycle_state = 'persisted' THEN 14 ELSE 90 END * 86400000000000",
     "run_states": f"WITH {_RUNS} SELECT run_type, lifecycle_state, count(*) runs, count(error_code) errors, count(batch_id) batched FROM m GROUP BY 1, 2",
-    "run_checkpoint_links": f"WITH {_RUNS} SELECT a.run_id, a.batch_id, count(*) children, coalesce(string_agg(DISTINCT b.cycle_id, ',' ORDER BY b.cycle_id), '') cycles FROM m a JOIN m b ON a.batch_id = b.batch_id AND a.run_id <> b.run_id WHERE a.run_type = 'checkpoint' AND b.scope = 'project' GROUP BY 1, 2",
+    "run_checkpoint_links": f"""WITH {H}, {R}, {_RUNS}, q AS (SELECT trace_id, max(run_type) run_type, max(batch_id) batch_id, max(e - s) n FROM v JOIN r USING (trace_id, span_id) GROUP BY 1), rp AS (SELECT q.*, project FROM q JOIN (SELECT {_T} trace_id, bool_or(scope = 'project') project FROM trace_bundles GROUP BY 1) USING (trace_id) WHERE batch_id IS NOT NULL),
+ch AS (SELECT o.trace_id, count(*) n, CAST(sum(c.n) AS BIGINT) AS "work" FROM rp o JOIN rp c ON c.batch_id = o.batch_id AND c.trace_id <> o.trace_id AND c.project GROUP BY 1), lk AS (SELECT DISTINCT o.trace_id, m.cycle_id FROM rp o JOIN rp c ON c.batch_id = o.batch_id AND c.trace_id <> o.trace_id AND c.project JOIN m ON m.trace_id = c.trace_id WHERE m.cycle_id IS NOT NULL),
+ms AS (SELECT o.trace_id, string_agg(DISTINCT m.cycle_id, ',' ORDER BY m.cycle_id) c FROM rp o JOIN m ON m.batch_id = o.batch_id LEFT JOIN lk ON lk.trace_id = o.trace_id AND lk.cycle_id = m.cycle_id WHERE m.cycle_id IS NOT NULL AND lk.cycle_id IS NULL GROUP BY 1)
+SELECT o.batch_id checkpoint_id, o.trace_id outer_trace_id, o.n outer_makespan_ns, coalesce(ch.n, 0) children, coalesce(ch.work, 0) summed_child_work_ns, coalesce(ms.c, '') missing_child_cycles FROM rp o LEFT JOIN ch USING (trace_id) LEFT JOIN ms USING (trace_id) WHERE o.run_type = 'checkpoint'""",
     "park_intervals": f"WITH {_PARKS} SELECT * EXCLUDE (start_ns, end_ns) FROM pk",
     "park_totals": f"""WITH {_PARKS}, z AS (SELECT * FROM pk WHERE phase_id IS NOT NULL), q1 AS (SELECT phase_id, boot_id, start_ns s, end_ns e FROM z WHERE exact), q2 AS (SELECT phase_id, opened_ns s, closed_ns e FROM z WHERE closed_ns IS NOT NULL), {_union('q1', 'phase_id, boot_id', 'a')}, {_union('q2', 'phase_id', 'b')},
 g AS (SELECT phase_id, count(*) parks, bool_and(exact) exact, bool_or(duration_ns IS NULL) op FROM z GROUP BY 1), am AS (SELECT phase_id, CAST(sum(union_ns) AS BIGINT) n FROM a GROUP BY 1)
 SELECT phase_id, parks, CASE WHEN op THEN 'incomplete' WHEN exact THEN 'monotonic-union' ELSE 'calendar-union-cross-boot' END AS "method", CASE WHEN NOT op THEN CASE WHEN exact THEN coalesce(am.n, 0) ELSE coalesce(b.union_ns, 0) END END total_ns FROM g LEFT JOIN am USING (phase_id) LEFT JOIN b USING (phase_id)""",
-    "park_violations": "WITH e AS (SELECT DISTINCT park_id, event, \"at\" tm FROM park_events) SELECT park_id, count(*) FILTER (event = 'open') opens, count(*) FILTER (event = 'close') closes FROM e GROUP BY 1 HAVING count(*) FILTER (event = 'open') <> 1 OR count(*) FILTER (event = 'close') > 1 OR min(tm) FILTER (event = 'close') < min(tm) FILTER (event = 'open')",
+    "park_violations": """WITH e AS (SELECT DISTINCT park_id, event, "at" tm, boot_id, phase_id, reason FROM park_events), g AS (SELECT park_id, count(*) FILTER (event = 'open') opens, count(*) FILTER (event = 'close') closes, min(tm) FILTER (event = 'open') o, min(tm) FILTER (event = 'close') c, count(DISTINCT boot_id) boots, count(DISTINCT coalesce(phase_id, '-') || '|' || coalesce(reason, '-')) names FROM e GROUP BY 1)
+SELECT * FROM (SELECT park_id, opens, closes, concat_ws(',', CASE WHEN opens <> 1 THEN 'not-one-opening' END, CASE WHEN closes > 1 THEN 'closed-again' END, CASE WHEN closes = 0 THEN 'still-open' END, CASE WHEN c < o THEN 'closed-before' END, CASE WHEN boots > 1 THEN 'other-boot' END, CASE WHEN names > 1 THEN 'other-identity' END) codes FROM g) WHERE codes <> ''""",
     "phase_index": f"""WITH {H}, g AS (SELECT substr(operation, 7) phase, min(started_at) f, count(*) traces FROM h WHERE starts_with(operation, 'phase.') GROUP BY 1), k AS (SELECT *, CASE WHEN regexp_full_match(phase, '\\d+(\\.\\d+)*') THEN '0' || array_to_string(list_transform(string_split(phase, '.'), lambda x: lpad(x, 12, '0')), '.') ELSE '1' || phase END AS k FROM g)
 SELECT phase, substr(f, 1, 10) AS "day", substr(f, 1, 7) || '-w' || CAST((CAST(substr(f, 9, 2) AS INT) - 1) // 7 + 1 AS VARCHAR) AS week, traces, lag(phase) OVER (ORDER BY k) AS "before", lead(phase) OVER (ORDER BY k) AS "after" FROM k""",
 }

@@ -12,23 +12,34 @@ def events(spark, rows):
 
 
 def test_phase_events(spark):
-    good = [("a", "1", None, "", "planned", None), ("b", "1", "a", "planned", "next", None), ("c", "1", "b", "next", "in-progress", "me")]
+    good = [("a", "1", None, "", "not-started", None), ("b", "1", "a", "not-started", "next", None), ("c", "1", "b", "next", "in-progress", "me"), ("c2", "1", "c", "in-progress", "in-progress", "me"), ("k", "6", None, "", "completed", None)]
     assert lg.event_violations(events(spark, good)).count() == 0
-    assert [r.id for r in lg.heads(events(spark, good)).collect()] == ["c"]
-    bad = [("d", "2", None, "", "complete", None), ("e", "3", "zz", "planned", "next", None), ("f", "4", None, "", "planned", None), ("g", "4", "f", "planned", "next", None), ("h", "4", "f", "planned", "cancelled", None), ("i", "5", "j", "planned", "next", None), ("j", "5", "i", "next", "planned", None)]
+    assert {r.id for r in lg.heads(events(spark, good)).collect()} == {"c2", "k"}
+    bad = [("d", "2", None, "", "planned", None), ("e", "3", "zz", "not-started", "next", None), ("f", "4", None, "", "not-started", None), ("g", "4", "f", "not-started", "next", None), ("h", "4", "f", "not-started", "completed", None), ("i", "5", "j", "not-started", "next", None), ("j", "5", "i", "next", "not-started", None), ("l", "7", None, "", "completed", None), ("m", "7", "l", "completed", "in-progress", "me")]
     got = {(r.phase, r.code) for r in lg.event_violations(events(spark, good + bad)).collect()}
-    assert {("2", "illegal-transition"), ("3", "missing-predecessor"), ("3", "not-one-genesis"), ("4", "fork"), ("5", "cycle"), ("5", "not-one-genesis")} <= got and not {x for x in got if x[0] == "1"}
+    assert {("2", "illegal-transition"), ("3", "missing-predecessor"), ("3", "not-one-genesis"), ("4", "fork"), ("4", "illegal-transition"), ("5", "cycle"), ("5", "not-one-genesis"), ("7", "illegal-transition")} <= got and not {x for x in got if x[0] in "16"}
+    more = events(spark, good[:3] + [("n", "1", "c", "in-progress", "completed", "you")]).withColumns({"claim": F.when(F.col("id") != "c", F.lit("x")), "release": F.lit(None).cast("string"), "acceptance": F.lit(""), "writer": F.lit("w"), "reason": F.when(F.col("id") != "b", F.lit("r"))})
+    assert {(r.phase, r.code) for r in lg.event_violations(more).collect()} == {("1", "unclaimed-work"), ("1", "unreleased-handoff"), ("1", "unaccepted-completion"), ("1", "unattributed")}
 
 
 def test_current_phase(spark):
     p = spark.createDataFrame([("1", []), ("2", ["1"]), ("3", ["9"])], "id string, depends_on array<string>")
-    h = spark.createDataFrame([("1", "complete", None), ("2", "next", None), ("3", "next", "me"), ("9", "planned", None)], "phase string, state string, owner string")
+    h = spark.createDataFrame([("1", "completed", None), ("2", "next", None), ("3", "next", "me"), ("9", "not-started", None)], "phase string, state string, owner string")
     assert [r.id for r in lg.current_phase(p, h, "me").collect()] == ["2"]
 
 
+def test_phase_graph(spark):
+    rows = [("a", "1", [], None), ("b", "3/2", ["a"], None), ("c", "1.4", ["b"], "a"), ("d", "9", ["x"], "y"), ("e", "10", ["e"], None), ("f", "11", [], "g"), ("g", "12", [], "f"), ("h", "13", ["f"], None), ("n", "14", [], None)]
+    p = spark.createDataFrame(rows, "id string, order string, depends_on array<string>, parent string")
+    state = {"a": "completed", "b": "next", "c": "in-progress", "d": "next", "e": "not-started", "f": "not-started", "g": "not-started", "h": "next"}
+    h = spark.createDataFrame([(k, v, "me" if k == "b" else None) for k, v in state.items()], "phase string, state string, owner string")
+    got = {(r.phase, r.code) for r in lg.graph_violations(p, h).collect()}
+    assert got == {("c", "dependency-ordered-after"), ("c", "work-precedes-dependency"), ("a", "incomplete-child"), ("d", "unknown-dependency"), ("d", "unknown-parent"), ("e", "self-cycle"), ("e", "graph-cycle"), ("f", "graph-cycle"), ("g", "graph-cycle"), ("h", "graph-cycle"), ("n", "no-genesis"), ("d", "several-next"), ("h", "several-next")}
+
+
 def test_rational_order(spark):
-    d = spark.createDataFrame([("a", "1/3"), ("b", "0.333333333"), ("c", "2"), ("d", "x"), ("e", "10/3"), ("f", None), ("g", "-1")], "id string, o string")
-    assert [r.id for r in lg.rational_rank(d, "o", "id").orderBy("rank").collect()] == ["g", "b", "a", "c", "e", "d", "f"]
+    d = spark.createDataFrame([("a", "1/3"), ("b", "0.333333333"), ("c", "2"), ("d", "x"), ("e", "10/3"), ("f", None), ("g", "-1"), ("h", "333333333333333/999999999999999"), ("i", "333333333333334/999999999999999"), ("k", "-4/3")], "id string, o string")
+    assert [r.id for r in lg.rational_rank(d, "o", "id").orderBy("rank").collect()] == ["k", "g", "b", "a", "h", "i", "c", "e", "d", "f"]
 
 
 def test_log_blocks(spark):
@@ -50,12 +61,15 @@ def test_lessons(spark):
 
 
 def test_verdicts(spark):
-    d = spark.createDataFrame([(1, "Verdict: APPROVE\\n ok \\\"x\\\""), (2, "Verdict: APPROVE | REVISE"), (3, "see Verdict: no"), (4, "Verdict: REVISE\n1: a\n2: b\n3: c")], "i int, b string")
-    assert [r.i for r in d.filter(lg.genuine_verdict("b")).collect()] == [1] and d.select(lg.normal_verdict("b").alias("n")).first().n == 'Verdict: APPROVE ok "x"'
+    head = "## Verdict: REVISE\n"
+    texts = ["## Verdict: APPROVED \n\nall \\\"well\\\"\\n", head + "=== quoted", " " + head + "x", "## Verdict: MAYBE\nx", head + "1: a\n2: b\n 3\tc", head + "1: a\n2: b", head + "see notes.md-12-x", "## Verdict: REVISE", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, b string")
+    assert [r.i for r in d.filter(lg.genuine_verdict("b")).orderBy("i").collect()] == [0, 5]
+    assert d.select(lg.normal_verdict("b").alias("n")).first().n == '## Verdict: APPROVED all "well" '
     f = spark.createDataFrame([("x", "p2", 2), ("x", "p1", 1), ("y", "p3", 3)], "body string, path string, line int")
     assert {(r.body, r.path) for r in lg.first_seen(f, ["body"], ["path", "line"]).collect()} == {("x", "p1"), ("y", "p3")}
-    g = spark.createDataFrame([("p", "s", "k", "1", "open", "e1"), ("p", "s", "k", "1", "open", "e2"), ("p", "s", "k", "2", "closed", "e1"), ("p", "s", "k", "2", "open", "e2")], "project string, source string, kind string, id string, state string, evidence string")
-    assert [r.id for r in lg.reaimed(g).collect()] == ["1"]
+    g = spark.createDataFrame([("p", "s", "k", "1", "open", "e1"), ("p", "s", "k", "1", "open", "e2"), ("p", "s", "k", "2", "closed", "e1"), ("p", "s", "k", "2", "open", "e2"), ("p", "s", "k", "3", "addressed", "e1"), ("p", "s", "k", "3", "blocked-owner", "e2")], "project string, source string, kind string, id string, state string, evidence string")
+    assert {r.id for r in lg.reaimed(g).collect()} == {"1", "3"}
 
 
 def test_replay(spark):

@@ -15,7 +15,7 @@ def test_replies(spark):
 
 
 def test_blocks(spark):
-    b = 'x\n```json\n[{"id": "old"}]\n```\n```json\n[{"id": "F1", "severity": "high", "state": "open"}]\n```\n'
+    b = 'x\n```json\n[{"id": "old"}]\n```\n```json\n{"findings": [{"id": "F1", "severity": "high", "state": "open"}]}\n  ```\n'
     assert one(spark, rc.findings(F.lit(b)))[0].id == "F1" and one(spark, rc.findings(F.lit("none"))) is None
     t = "# Failure analysis\n" + "a" * 40 + "\n# Other\ntext\n# Failure analysis two\nshort\n"
     assert one(spark, rc.sections_of(F.lit(t), "Failure analysis")) == ["a" * 40]

@@ -35,8 +35,33 @@ def test_attribution_does_not_depend_on_bins(spark):
             if hit:
                 w = max(hit, key=lambda x: (x[4], -(x[3] - x[2]), x[1]))
                 want[t, w[5]] = want.get((t, w[5]), 0) + b - a
-    for bins in (3, 64):
-        assert {(x.trace_id, x.category): x.exclusive_ns for x in tr.exclusive_attribution(d, "trace_id", "span_id", "s", "e", "depth", "category", bins).collect()} == want
+    for parts in (1, 2, 3, 7, 30):
+        assert {(x.trace_id, x.category): x.exclusive_ns for x in tr.exclusive_attribution(d, "trace_id", "span_id", "s", "e", "depth", "category", parts).collect()} == want, parts
+
+
+def test_attribution_over_one_long_trace(spark):
+    """Nested, equal and staggered spans of one trace: time linear in their number, over all partitions."""
+    n = 200_000
+    i = F.col("id")
+    nested = spark.range(n).select(i.alias("s"), (F.lit(4 * n) - i).alias("e"), i.alias("depth"), F.lit("nested").alias("l"))
+    late = spark.range(n).select((i % 7).alias("s"), (F.lit(3 * n) + i).alias("e"), F.lit(-1).cast("long").alias("depth"), F.lit("late").alias("l"))
+    same = spark.range(n).select(F.lit(5).cast("long").alias("s"), F.lit(4 * n + 9).cast("long").alias("e"), F.lit(-2).cast("long").alias("depth"), F.lit("same").alias("l"))
+    d = nested.unionByName(late).unionByName(same).withColumns({"k": F.lit("t"), "i": F.monotonically_increasing_id().cast("string")})
+    got = {r.l: r.n for r in tr.exclusive_attribution(d, "k", "i", "s", "e", "depth", "l", 16).select("l", F.col("exclusive_ns").alias("n")).collect()}
+    assert got == {"nested": 4 * n, "same": 9}
+    empty = tr.exclusive_attribution(d.limit(0), "k", "i", "s", "e", "depth", "l")
+    odd = spark.createDataFrame([(None, "a", 0, 5, None, None), ("t", None, 0, 5, 1, "x"), ("t", "b", 3, 3, 9, "y"), ("t", "c", None, 4, 9, "y"), ("t", "d", 4, 6, 0, "x")], "k string, i string, s long, e long, depth int, l string")
+    assert empty.count() == 0 and {tuple(r) for r in tr.exclusive_attribution(odd, "k", "i", "s", "e", "depth", "l").collect()} == {(None, None, 5), ("t", "x", 6)}
+
+
+def test_batch_metrics(spark):
+    a, b, c = (x * 8 for x in "abc")
+    rows = [("x", "intelligence", f"role.cycle.{a}", 1, "error", 0, 10), ("x", "intelligence", f"role.cycle.{a}", 2, "success", 10, 30), ("x", "intelligence", f"role.cycle.{b}", 1, "error", 5, 25), ("x", "gate", f"role.cycle.{c}", 1, "success", 0, 90),
+            ("x", "reconciliation", f"batch.commit.{a}", 1, "success", 30, 31), ("x", "reconciliation", f"batch.commit.{b}", 1, "error", 30, 31), ("x", "reconciliation", f"batch.quarantine.{b}", 1, "error", 31, 32), ("x", "reconciliation", f"batch.telemetry-incomplete.{b}", 1, "success", 32, 33)]
+    ch = spark.createDataFrame(rows, "k string, category string, operation string, attempt int, outcome string, s long, e long")
+    got = {r.k: r for r in tr.batch_metrics(ch, spark.createDataFrame([("x", 100), ("y", 0)], "k string, makespan_ns long"), "k", "s", "e").collect()}
+    assert tuple(got["x"])[1:] == (100, 2, 1, 1, 1, 1, 1, 50, 30, 100, None, 30, 30, 20, 2, 50 / 30, 0.3, None)
+    assert tuple(got["y"])[1:] == (0, 0, 0, 0, 0, 0, 0, 0, 0, None, "no committed members", 0, 0, 0, 0, None, None, "zero batch makespan")
 
 
 def test_peak_ends_before_starts(spark):
