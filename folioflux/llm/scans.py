@@ -3,7 +3,8 @@ broken over line and page ends, misrecognised letters.
 
 One scan of the pages leaves three small things: the lines at page edges, the word breaks, and the
 words of the corpus with their counts. Headers are edge lines that repeat within a document when
-digits are masked and letters that scanners confuse are folded to one stroke form; page numbers are
+digits are masked and letters that scanners confuse are folded to one stroke form, and edge lines
+within a few letters of such a header that share half of its words with it; page numbers are
 edge lines of nothing but a number. The corpus vocabulary decides whether a broken word is joined,
 keeps its hyphen or was no break, and which frequent word a rare one was read from by the usual
 confusions. No page text is shuffled and no document is gathered in one task.
@@ -23,11 +24,13 @@ from folioflux.session import materialise
 
 #: Lines looked at on either edge of a page: a header and a page number may both stand there.
 EDGE = 3
-#: Of these, lines that may be a header or a page number: one of each at most.
-OUTER = 2
 #: Share of a document's pages with an edge line for it to run through the document; alternating
 #: headers stand on every second page, and the first page often has none.
 RUNS = 0.25
+#: Letters by which a header may differ from one that runs, beyond the usual confusions.
+FUZZY = 2
+#: Parts into which the rows of one line form are spread where many documents have it.
+SALT = 16
 #: A misread form is rarer than the word by at least this factor.
 RARER = 5
 #: Confusions in one word at most.
@@ -46,7 +49,8 @@ _BACK: dict[str, list[str]] = {}
 for _a, _b in PAIRS:
     _BACK.setdefault(_b, []).append(_a)
 #: Confused letters end in the same strokes, whatever the confusion.
-STROKES = str.maketrans({"m": "lll", "n": "ll", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "d": "cl", "w": "vv", "i": "l", "1": "l", "t": "l", "f": "l", "r": "l", "|": "l", "j": "l", "e": "c", "o": "c", "0": "c", "a": "c", "5": "s", "9": "g", "q": "g", "y": "v", "2": "z"})
+_STROKES = {"m": "lll", "n": "ll", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "d": "cl", "w": "vv", "i": "l", "1": "l", "t": "l", "f": "l", "r": "l", "|": "l", "j": "l", "e": "c", "o": "c", "0": "c", "a": "c", "5": "s", "9": "g", "q": "g", "y": "v", "2": "z"}
+STROKES = {i: _STROKES.get(chr(i), chr(i)) for i in range(0x530)}  # one look-up for every letter
 
 _LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -56,6 +60,8 @@ _STARTS = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
 _NUMBER = re.compile(r"(?:[-–—\[(|.~*\s]*)(?:p(?:age|\.|g\.)?\s*)?([0-9lIOoSB|]{1,5}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOoSB|]{1,5})?(?:[-–—\])|~*\s]*)", re.IGNORECASE)
 _ROMAN = re.compile(r"(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _MASK = re.compile(r"(?<![^\W_])(?:[0-9lIOoSB|]*[0-9][0-9lIOoSB|]*|[lIO|])(?![^\W_])")
+_FIVE = re.compile("[a-z]{5}")
+_WORDS = re.compile(r"\w+(?:-\w+)*")
 _PAGED = re.compile(r"[0-9lIOSB|]{1,5}\s{2,}\S.*|.*\S\s{2,}[0-9lIOSB|]{1,5}")
 #: Words that follow a hyphen left hanging (pre- and post-war), unless the corpus knows the whole (detect-or).
 HANGING = {"and", "or", "to", "und", "oder", "bis", "et", "ou", "y", "e", "o", "i", "lub", "и", "или", "και"}
@@ -75,7 +81,13 @@ def key(line: str) -> str:
     if line[-1] in ".!?,;:-¬‐" and not line.endswith(("Vol.", "No.")):
         return ""
     s = " ".join(_MASK.sub(" ", line).lower().split())
-    return s.translate(STROKES) if sum(map(str.isalpha, s)) >= 5 else ""
+    return s.translate(STROKES) if _FIVE.search(s) or sum(map(str.isalpha, s)) >= 5 else ""
+
+
+def halves(form: str) -> tuple[str, str]:
+    """The first and the second half of a line form by its words."""
+    w = form.split()
+    return " ".join(w[: -(-len(w) // 2)]), " ".join(w[len(w) // 2 :])
 
 
 def is_paged(line: str) -> bool:
@@ -109,7 +121,7 @@ def whole_words(text: str) -> list[str]:
     """Words of a page in lower case, broken ones left out."""
     low = text.lower()
     if not _BREAKS.search(low):
-        return _TOKEN.findall(low)
+        return (_TOKEN if "_" in low else _WORDS).findall(low)
     out, broken = [], False
     for x in lines(low):
         w = _TOKEN.findall(x)
@@ -139,10 +151,10 @@ class Scan:
     """What one scan of pages (origin, doc_sha256, page_number, text) tells about them.
 
     Repeated pages count once; null and empty pages hold nothing; pages with a null document or
-    number stand alone. Line forms and pages are told apart by 64-bit hashes where they are counted."""
+    number stand alone. Line forms and pages are told apart by two independent 64-bit hashes."""
 
     PAGE = ["origin", "doc_sha256", "page_number"]
-    _EDGES = "array<struct<at:int,line:string,k:bigint,s:bigint>>"
+    _EDGES = "array<struct<at:int,line:string,k:bigint,s:bigint,a:bigint,b:bigint>>"
     _BREAKS = "array<struct<at:int,left:string,right:string>>"
 
     def __init__(self, pages: DataFrame, scans: tuple[str, ...] = ("recovered_pages",)):
@@ -161,22 +173,24 @@ class Scan:
                 return out
 
             for b in batches:
-                e_at, e_line, e_k, e_s, e_off = [], [], [], [], [0]
+                e_at, e_line, e_k, e_s, e_a, e_b, e_off = [], [], [], [], [], [], [0]
                 b_at, b_left, b_right, b_off = [], [], [], [0]
                 starts, plain = [], []
                 for o, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
                     edges, breaks = scan_page(t)
                     words.update(whole_words(t))
                     easy = not breaks
-                    for k, (at, x) in enumerate(edges):
+                    for at, x in edges:
                         # 0 stands for no header form, 1 for a page number
-                        outer = k < OUTER or len(edges) - k <= OUTER
-                        number = outer and is_number(x)
-                        f = key(x) if outer and not number else ""
+                        number = is_number(x)
+                        f = "" if number else key(x)
+                        a, c = halves(f) if f else ("", "")
                         e_at.append(at)
                         e_line.append(x)
                         e_k.append(_hash(f"{o}\0{d}\0{f}") if f else 0)
                         e_s.append(_hash(f) if f else int(number))
+                        e_a.append(_hash(a) if len(a) > 5 else 0)
+                        e_b.append(_hash(c) if len(c) > 5 else 0)
                         easy = easy and not number and x[-1] not in "-¬‐\xad" and "  " not in x
                     e_off.append(len(e_at))
                     for at, x, y in breaks:
@@ -189,14 +203,14 @@ class Scan:
                     plain.append(easy)
                 n = len(starts)
                 nest = lambda off, kind, *cols: pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind.value_type)], fields=list(kind.value_type)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], nest(e_off, types[3], e_at, e_line, e_k, e_s), nest(b_off, types[4], b_at, b_left, b_right), pa.array(starts, s), pa.array(plain, pa.bool_()), pa.nulls(n, s), pa.nulls(n, i)], names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], nest(e_off, types[3], e_at, e_line, e_k, e_s, e_a, e_b), nest(b_off, types[4], b_at, b_left, b_right), pa.array(starts, s), pa.array(plain, pa.bool_()), pa.nulls(n, s), pa.nulls(n, i)], names)
                 if len(words) > 200_000:
                     yield flush()
             yield flush()
 
         names = [*self.PAGE, "edges", "breaks", "start", "plain", "word", "n"]
         s, i = pa.string(), pa.int64()
-        types = [s, s, i, pa.list_(pa.struct([("at", pa.int32()), ("line", s), ("k", i), ("s", i)])), pa.list_(pa.struct([("at", pa.int32()), ("left", s), ("right", s)])), s, pa.bool_(), s, i]
+        types = [s, s, i, pa.list_(pa.struct([("at", pa.int32()), ("line", s), ("k", i), ("s", i), ("a", i), ("b", i)])), pa.list_(pa.struct([("at", pa.int32()), ("left", s), ("right", s)])), s, pa.bool_(), s, i]
         self.found = materialise(self.pages.mapInArrow(run, f"origin string, doc_sha256 string, page_number long, edges {self._EDGES}, breaks {self._BREAKS}, start string, plain boolean, word string, n long"))
         self._words: DataFrame | None = None
         self._forms: DataFrame | None = None
@@ -207,57 +221,75 @@ class Scan:
             self._words = materialise(self.found.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
         return self._words
 
+    @property
+    def _G(self):
+        """The document of a page, by a hash independent of that of the page."""
+        return F.xxhash64("doc_sha256", "origin")
+
     def running(self) -> DataFrame:
-        """(k): the line forms that run through their document."""
+        """(k, g): the line forms that run through their document, and those that are nearly one of them."""
         p = self.found.filter("edges is not null")
-        g = F.xxhash64("origin", "doc_sha256").alias("g")
-        e = p.select(g, "page_number", F.explode("edges").alias("x")).filter("x.k <> 0").select("g", "page_number", "x.k", "x.s")
-        keys = e.groupBy("k").agg(F.countDistinct("page_number").alias("n"), F.min("s").alias("s"), F.min("g").alias("g"))
-        sizes = p.select(g, "page_number").groupBy("g").agg(F.countDistinct("page_number").alias("pages"))
-        spread = keys.groupBy("s").agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 1).alias("running")).filter("running > 0")
-        j = keys.join(spread, "s").join(sizes, "g")
+        e = p.select(self._G.alias("g"), "page_number", F.explode("edges").alias("x")).filter("x.k <> 0").select("g", "page_number", "x.*")
+        keys = e.groupBy("k", "g").agg(F.countDistinct("page_number").alias("n"), *[F.min(c).alias(c) for c in ("s", "a", "b", "line")])
+        keys = materialise(keys)
+        sizes = p.select(self._G.alias("g"), "page_number").groupBy("g").agg(F.countDistinct("page_number").alias("pages"))
+        # Forms of one document need no look at others; those of many are spread, a stamp may stand on every document.
+        spread = keys.groupBy("s").agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 1).alias("running")).filter("docs > 1 and running > 0")
+        spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salted = keys.withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(SALT)).cast("int"))
+        several = salted.join(spread, ["s", "salt"]).select("k", "g", "n", "docs", "running")
+        alone = keys.filter("n > 1").join(spread.select("s", "salt").filter("salt = 0"), "s", "left_anti").select("k", "g", "n", F.lit(1).cast("long").alias("docs"), F.lit(1).cast("long").alias("running"))
+        j = several.unionByName(alone).join(sizes, "g")
         # A line form of many documents (a stamp, say) is a header where it stands alone, too; one at the
         # edges of many documents that runs through few is a common sentence.
         runs = (F.col("n") > 1) & (F.col("n") >= RUNS * F.col("pages"))
         stamp = (F.col("running") >= 3) & (F.col("running") * 4 >= F.col("docs"))
         usual = (F.col("docs") >= 3) & (F.col("running") * 2 <= F.col("docs")) & (F.col("n") * 2 <= F.col("pages"))
-        return j.filter((runs | stamp) & ~usual).select("k")
+        sure = materialise(j.filter((runs | stamp) & ~usual).select("k", "g"))
+        # Misread beyond the usual confusions: forms of the same document that share a half with a header.
+        half = F.explode(F.array_distinct(F.array("a", "b"))).alias("h")
+        text = F.regexp_replace(F.lower("line"), "[0-9 ]+", "").alias("line")
+        heads = keys.join(sure, ["k", "g"]).select("g", half, text).filter("h <> 0").withColumnRenamed("line", "head").distinct()
+        rest = keys.join(sure, ["k", "g"], "left_anti").select("k", "g", half, text).filter("h <> 0")
+        close = F.levenshtein("line", "head", FUZZY)
+        near = rest.join(heads, ["g", "h"]).filter(close.between(0, FUZZY) & (F.length("head") >= 8 * FUZZY)).select("k", "g")
+        return sure.unionByName(near).distinct()
 
     def facts(self) -> DataFrame:
         """Per page, one row per fact: ``line`` (a header or page number), ``break`` (within the body),
         ``tail`` (the body ends in a broken word) and ``start`` (its first word, under the page before)."""
         pid = lambda n: F.xxhash64("origin", "doc_sha256", n)
-        p = self.found.filter("edges is not null").select(pid(F.col("page_number")).alias("pid"), pid(F.col("page_number") - 1).alias("before"), *self.PAGE, "edges", "breaks", "start", "plain")
-        at = p.select("pid", F.explode("edges").alias("x")).filter("x.k <> 0").select("pid", "x.k", "x.at")
-        heads = at.join(self.running(), "k").groupBy("pid").agg(F.collect_set("at").alias("heads"))  # at most 2 * EDGE per page
-        names = ["pid", *self.PAGE, "fact", "at", "a", "b"]
+        p = self.found.filter("edges is not null").select(self._G.alias("g"), pid(F.col("page_number")).alias("pid"), pid(F.col("page_number") - 1).alias("before"), *self.PAGE, "edges", "breaks", "start", "plain")
+        at = p.select("g", "pid", F.explode("edges").alias("x")).filter("x.k <> 0").select("g", "pid", "x.k", "x.at")
+        heads = at.join(self.running(), ["k", "g"]).groupBy("g", "pid").agg(F.collect_set("at").alias("heads"))  # at most 2 * EDGE per page
+        names = ["g", "pid", *self.PAGE, "fact", "at", "a", "b"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, i = pa.string(), pa.int64()
-            kinds = [i, s, s, i, s, pa.int32(), s, s]
+            kinds = [i, i, s, s, i, s, pa.int32(), s, s]
             for b in batches:
                 rows = []
-                for pid_, before, o, d, n, edges, breaks, heads_ in zip(*(c.to_pylist() for c in b.columns)):
+                for g, pid_, before, o, d, n, edges, breaks, heads_ in zip(*(c.to_pylist() for c in b.columns)):
                     kind = kinds_of(edges, set(heads_ or ()))
-                    rows += [(pid_, o, d, n, "line", e["at"], e["line"], kind[e["at"]]) for e in edges if kind[e["at"]]]
+                    rows += [(g, pid_, o, d, n, "line", e["at"], e["line"], kind[e["at"]]) for e in edges if kind[e["at"]]]
                     body = [e for e in edges if not kind[e["at"]]]
                     end = body[-1]["at"] if body else None
-                    rows += [(pid_, o, d, n, "break", x["at"], x["left"], x["right"]) for x in breaks if x["at"] == EDGE or x["at"] != end and not kind.get(x["at"])]
+                    rows += [(g, pid_, o, d, n, "break", x["at"], x["left"], x["right"]) for x in breaks if x["at"] == EDGE or x["at"] != end and not kind.get(x["at"])]
                     if body:
                         m = _BROKEN.search(body[-1]["line"])
                         if m:
-                            rows.append((pid_, o, d, n, "tail", end, m.group(1), None))
+                            rows.append((g, pid_, o, d, n, "tail", end, m.group(1), None))
                         q = _STARTS.match(body[0]["line"])
                         if q and n is not None:
-                            rows.append((before, None, None, None, "start", None, q.group(1), None))
+                            rows.append((g, before, None, None, None, "start", None, q.group(1), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
 
         # A plain page (no number, break or wide space at its edges, no header) is all body: only its first word counts.
-        p = p.join(heads, "pid", "left")
+        p = p.join(heads, ["g", "pid"], "left")
         plain = F.col("plain") & F.col("heads").isNull()
         none = F.lit(None).cast("string")
-        easy = p.filter(plain & F.col("start").isNotNull() & F.col("page_number").isNotNull()).select(F.col("before").alias("pid"), none.alias("origin"), none.alias("doc_sha256"), F.lit(None).cast("long").alias("page_number"), F.lit("start").alias("fact"), F.lit(None).cast("int").alias("at"), F.col("start").alias("a"), none.alias("b"))
-        rest = p.filter(~plain).select("pid", "before", *self.PAGE, "edges", "breaks", "heads").mapInArrow(run, "pid long, origin string, doc_sha256 string, page_number long, fact string, at int, a string, b string")
+        easy = p.filter(plain & F.col("start").isNotNull() & F.col("page_number").isNotNull()).select("g", F.col("before").alias("pid"), none.alias("origin"), none.alias("doc_sha256"), F.lit(None).cast("long").alias("page_number"), F.lit("start").alias("fact"), F.lit(None).cast("int").alias("at"), F.col("start").alias("a"), none.alias("b"))
+        rest = p.filter(~plain).select("g", "pid", "before", *self.PAGE, "edges", "breaks", "heads").mapInArrow(run, "g long, pid long, origin string, doc_sha256 string, page_number long, fact string, at int, a string, b string")
         return materialise(rest.unionByName(easy))
 
     def misread(self, extra: DataFrame | None = None) -> DataFrame:
@@ -265,23 +297,31 @@ class Scan:
         first, then the more frequent word. ``extra`` (word, n) adds forms to look at."""
         known = self.words()
         forms = known if extra is None else known.unionByName(extra).groupBy("word").agg(F.max("n").alias("n"))
+        right = known.filter(F.col("n") >= RARER).filter("length(word) >= 4 and word rlike '^[^0-9]+$'").select("word", F.col("n").alias("m"))
+        most, words_ = right.agg(F.max("m"), F.count("*")).first()
+        # No word is frequent enough for a form as frequent as this.
+        forms = forms.filter(F.lit(RARER) * F.greatest(F.col("n"), F.lit(1)) <= F.lit(most or 0))
+        # What a form may have been is looked up where it is formed, if the frequent words are few enough to be sent.
+        sent = self.pages.sparkSession.sparkContext.broadcast({r.word for r in right.select("word").collect()} if words_ <= SENT else None)
+        types = pa.schema([("form", pa.string()), ("n", pa.int64()), ("word", pa.string()), ("errors", pa.int32())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = sent.value
             for b in batches:
-                a, n, v, e = [], [], [], []
+                a, n, v, e = cols = [], [], [], []
                 for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     for x, c in variants(w).items():
-                        a.append(w)
-                        n.append(k)
-                        v.append(x)
-                        e.append(c)
+                        if some is None or x in some:
+                            a.append(w)
+                            n.append(k)
+                            v.append(x)
+                            e.append(c)
                     if len(a) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(n, pa.int64()), pa.array(v, pa.string()), pa.array(e, pa.int32())], ["form", "n", "word", "errors"])
-                        a, n, v, e = [], [], [], []
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(n, pa.int64()), pa.array(v, pa.string()), pa.array(e, pa.int32())], ["form", "n", "word", "errors"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types.types)], schema=types)
+                        a, n, v, e = cols = [], [], [], []
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types.types)], schema=types)
 
         v = forms.select("word", "n").filter("length(word) >= 3").mapInArrow(run, "form string, n long, word string, errors int")
-        right = known.filter("length(word) >= 4 and word rlike '^[^0-9]+$'").select("word", F.col("n").alias("m"))
         pairs = v.join(right, "word").filter(F.col("m") >= RARER * F.greatest(F.col("n"), F.lit(1)))
         best = F.max_by("word", F.struct(-F.col("errors"), F.col("m"), F.col("word")))
         return pairs.groupBy("form").agg(best.alias("word"))
@@ -290,8 +330,8 @@ class Scan:
         """(page, at, left, right, over) of words broken over a line end within the body, or from the end of
         a page's body to the start of the next page's."""
         inside = facts.filter("fact = 'break'").select(*self.PAGE, "at", F.col("a").alias("left"), F.col("b").alias("right"), F.lit(False).alias("over"))
-        starts = facts.filter("fact = 'start'").select("pid", F.col("a").alias("right"))
-        over = facts.filter("fact = 'tail'").select("pid", *self.PAGE, "at", F.col("a").alias("left")).join(starts, "pid")
+        starts = facts.filter("fact = 'start'").select("g", "pid", F.col("a").alias("right"))
+        over = facts.filter("fact = 'tail'").select("g", "pid", *self.PAGE, "at", F.col("a").alias("left")).join(starts, ["g", "pid"])
         return inside.unionByName(over.select(*self.PAGE, "at", "left", "right", F.lit(True).alias("over"))).distinct()
 
     def forms(self, breaks: DataFrame) -> DataFrame:
@@ -303,8 +343,9 @@ class Scan:
 
     def joined(self, breaks: DataFrame) -> DataFrame:
         """Breaks with ``item``, the whole word in lower case, and ``wrong`` if it was misread, too. Left out are breaks whose whole word
-        the corpus does not know before a word of HANGING (the hyphen hangs) or over a page end (what follows may be no body)."""
-        b = breaks.withColumn("left", F.lower("left")).withColumn("right", F.lower("right"))
+        the corpus does not know before a word of HANGING (the hyphen hangs) or, over a page end, before a capital (what follows may be no body)."""
+        b = breaks.withColumn("over", F.col("over") & (F.substr("right", F.lit(1), F.lit(1)) != F.lower(F.substr("right", F.lit(1), F.lit(1)))))
+        b = b.withColumn("left", F.lower("left")).withColumn("right", F.lower("right"))
         pair = b.select("left", "right").distinct()
         whole = materialise(pair.select("left", "right", F.concat("left", "right").alias("j"), F.concat_ws("-", "left", "right").alias("h")))
         n = self.words()
@@ -317,10 +358,9 @@ class Scan:
 
     def _scanned(self, facts: DataFrame) -> DataFrame:
         """The pages of documents that come from a scan."""
-        doc = ["origin", "doc_sha256"]
         by_nature = F.coalesce(F.col("origin").isin(*self.scans), F.lit(False))
-        some = facts.filter("fact <> 'start'").select(F.xxhash64(*doc).alias("g")).distinct()
-        others = self.pages.filter(~by_nature).withColumn("g", F.xxhash64(*doc))
+        some = facts.filter("fact <> 'start'").select("g").distinct()
+        others = self.pages.filter(~by_nature).withColumn("g", self._G)
         if some.count() <= SENT:  # 8 bytes each
             some = F.broadcast(some)
         return self.pages.filter(by_nature).unionByName(others.join(some, "g", "left_semi").drop("g"))
@@ -399,7 +439,7 @@ def kinds_of(edges: list[dict], heads: set[int]) -> dict[int, str | None]:
     order = [e["at"] for e in edges]
     outside = set()
     for side in (order, order[::-1]):
-        for at in side[:OUTER]:
+        for at in side[:EDGE]:
             if not kind[at]:
                 break
             outside.add(at)

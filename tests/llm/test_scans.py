@@ -94,3 +94,19 @@ def test_a_broken_word_may_end_like_a_word_after_a_hanging_hyphen(spark):
     assert {tuple(r)[3:] for r in scan.cases().collect()} == {("hyphen", "detector"), ("hyphen", "sensor"), ("misread", "sensor")}
     got = {r.doc_sha256: r.text for r in scan.repaired().collect()}
     assert got["d"] == "The old detector and sensor hold, both pre- and post-war. The end."
+
+
+def test_edges_of_three_lines_and_nearly_equal_headers(spark):
+    body = "the probe measures the flow of water\nand the basin holds all of it for a day\nas the tide goes out once more again\nso nothing is left of it in the end"
+    heads = ["Journal of Quiet Waters", "Tides and their Basins", "Issue of the Spring"]
+    pages = []
+    for n in range(1, 9):
+        h = [x.replace("Basins", "Baxkns") if n == 5 else x for x in heads]
+        pages.append(("recovered_pages", "d", n, "\n".join([*h, f"{body} {n * 'x'}", "Quiet Press Limited", f"page {n}", "All rights reserved"])))
+    # alike but for words is no misreading
+    pages.append(("recovered_pages", "d", 9, "\n".join([heads[0], heads[2], "Tides and their Rivers", body, "Quiet Press Limited", "page 9", "All rights reserved"])))
+    got = scans.Scan(spark.createDataFrame(pages, "origin string, doc_sha256 string, page_number long, text string")).cases()
+    found = {(r.page_number, r.kind, r.item) for r in got.filter("kind in ('header', 'pageno')").collect()}
+    want = {(n, "header", x) for n in range(1, 10) for x in (heads[0], heads[2], "Quiet Press Limited", "All rights reserved")} | {(n, "pageno", f"page {n}") for n in range(1, 10)}
+    want |= {(n, "header", "Tides and their Baxkns" if n == 5 else heads[1]) for n in range(1, 9)}
+    assert found == want
