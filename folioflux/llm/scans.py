@@ -229,9 +229,8 @@ class Scan:
     def running(self) -> DataFrame:
         """(k, g): the line forms that run through their document, and those that are nearly one of them."""
         p = self.found.filter("edges is not null")
-        e = p.select(self._G.alias("g"), "page_number", F.explode("edges").alias("x")).filter("x.k <> 0").select("g", "page_number", "x.*")
-        keys = e.groupBy("k", "g").agg(F.countDistinct("page_number").alias("n"), *[F.min(c).alias(c) for c in ("s", "a", "b", "line")])
-        keys = materialise(keys)
+        e = p.select(self._G.alias("g"), "page_number", F.explode("edges").alias("x")).filter("x.k <> 0")
+        keys = materialise(e.select("g", "page_number", "x.k", "x.s").groupBy("k", "g").agg(F.countDistinct("page_number").alias("n"), F.min("s").alias("s")))
         sizes = p.select(self._G.alias("g"), "page_number").groupBy("g").agg(F.countDistinct("page_number").alias("pages"))
         # Forms of one document need no look at others; those of many are spread, a stamp may stand on every document.
         spread = keys.groupBy("s").agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 1).alias("running")).filter("docs > 1 and running > 0")
@@ -247,12 +246,12 @@ class Scan:
         usual = (F.col("docs") >= 3) & (F.col("running") * 2 <= F.col("docs")) & (F.col("n") * 2 <= F.col("pages"))
         sure = materialise(j.filter((runs | stamp) & ~usual).select("k", "g"))
         # Misread beyond the usual confusions: forms of the same document that share a half with a header.
-        half = F.explode(F.array_distinct(F.array("a", "b"))).alias("h")
-        text = F.regexp_replace(F.lower("line"), "[0-9 ]+", "").alias("line")
-        heads = keys.join(sure, ["k", "g"]).select("g", half, text).filter("h <> 0").withColumnRenamed("line", "head").distinct()
-        rest = keys.join(sure, ["k", "g"], "left_anti").select("k", "g", half, text).filter("h <> 0")
-        close = F.levenshtein("line", "head", FUZZY)
-        near = rest.join(heads, ["g", "h"]).filter(close.between(0, FUZZY) & (F.length("head") >= 8 * FUZZY)).select("k", "g")
+        half = F.explode(F.array_distinct(F.array("x.a", "x.b"))).alias("h")
+        text = F.regexp_replace(F.lower("x.line"), "[0-9 ]+", "")
+        lines_ = e.withColumn("k", F.col("x.k"))
+        heads = lines_.join(sure, ["k", "g"]).select("g", half, text.alias("head")).filter("h <> 0").distinct()
+        rest = lines_.join(sure, ["k", "g"], "left_anti").select("k", "g", half, text.alias("line")).filter("h <> 0")
+        near = rest.join(heads, ["g", "h"]).filter(F.levenshtein("line", "head", FUZZY).between(0, FUZZY) & (F.length("head") >= 8 * FUZZY)).select("k", "g")
         return sure.unionByName(near).distinct()
 
     def facts(self) -> DataFrame:
