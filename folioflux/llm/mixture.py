@@ -2,13 +2,17 @@
 
 Each source's records are packed, in order, into blocks of a fixed number of tokens (a record's
 place follows from running totals; a block may hold several records and a record several blocks).
-For each output shard the number of blocks per source is drawn from a multinomial distribution; the
+For each output shard the number of blocks per source is drawn from a multinomial distribution, under
+the condition that all shards together give each source its share: the shards are the leaves of a
+binary tree, every node of which splits its blocks between its halves at random, so any task draws
+its own shards from the root, and knows what went to the shards before, without drawing those. The
 slots drawn for a source are mapped through a pseudorandom permutation of its blocks, a new one for
 each pass, so no block is used more often than the number of passes; slots and blocks are then
 joined by (source, index), a key of even spread whatever the size of a source.
 """
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +26,10 @@ from folioflux.session import materialise
 
 #: Tokens of a block.
 BLOCK = 256
-#: Blocks of an output shard at least, and shards at most (the driver keeps one count per shard and source).
-SHARD_BLOCKS, SHARDS = 256, 20_000
+#: Blocks of an output shard, whatever the size of the mixture; shards drawn by a task at a time.
+SHARD_BLOCKS, GROUP = 256, 64
+#: Slots of one Arrow batch.
+BATCH = 1 << 16
 SEED = 20_250_101
 
 
@@ -32,17 +38,31 @@ def normal_source(c: str):
     return F.regexp_replace(F.regexp_replace(F.lower(F.col(c)), r"^\s+|\s+$", ""), r"[\s_]+", "-")
 
 
+_ENCODINGS: dict[str, object] = {}
+
+
+def _encoding(key: str, ranks: bytes, pattern: str):
+    """The encoding of a vocabulary sent with the job, built once per worker."""
+    if key not in _ENCODINGS:
+        import tiktoken
+
+        _ENCODINGS.clear()
+        _ENCODINGS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    return _ENCODINGS[key]
+
+
 def token_counts(df: DataFrame, text: str, ranks_file: str, pattern: str, out: str = "tokens") -> DataFrame:
-    """Adds the number of tokens of each text by a byte-pair vocabulary of ranks; null text has none."""
+    """Adds the number of tokens of each text by a byte-pair vocabulary of ranks; null text has none. The
+    vocabulary, a file of the driver, is sent to the tasks; its size is that of the public file."""
+    with open(ranks_file, "rb") as f:
+        ranks = f.read()
+    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+    sent = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("long")
     def count(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for s in it:
+            enc = _encoding(key, sent.value, pattern)
             yield pd.Series([0 if t is None else len(enc.encode_ordinary(t)) for t in s], dtype="int64")
 
     return df.drop(out).withColumn(out, count(F.col(text)))
@@ -69,30 +89,55 @@ def permute(i: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draw(shares: np.ndarray, room: np.ndarray, total: int, shard: int, seed: int) -> np.ndarray:
-    """Blocks per shard and source. Each shard is a multinomial draw whose probabilities are what
-    each source still lacks up to the end of that shard, so chance in one shard is evened out by the
-    next; a source without room left is not drawn."""
-    done = np.zeros(len(shares), dtype=np.int64)
-    rows = []
-    for k, first in enumerate(range(0, total, shard)):
-        n = min(shard, total - first)
-        one = np.zeros(len(shares), dtype=np.int64)
-        rng = np.random.default_rng([SEED, seed, k])
-        while n:
-            # the last shard is drawn in halves, each after what is lacking then, so little chance is left at the end
-            m = n if first + shard < total else -(-n // 2)
-            lack = np.clip(shares * (first + one.sum() + m) - done - one, 0, None) * (done + one < room)
-            if lack.sum() <= 0:
-                lack = shares * (done + one < room)
-            if lack.sum() <= 0:
-                break
-            got = np.minimum(rng.multinomial(m, lack / lack.sum()), room - done - one)
-            one += got
-            n -= int(got.sum())
-        done += one
-        rows.append(one)
-    return np.array(rows, dtype=np.int64).reshape(-1, len(shares))
+def totals(shares: np.ndarray, room: np.ndarray, total: int) -> np.ndarray:
+    """Whole blocks per source that make up ``total`` in proportion, none over its room: the largest
+    remainders are rounded up."""
+    exact = shares * total
+    out = np.minimum(np.floor(exact).astype(np.int64), room)
+    for k in np.argsort(out - exact, kind="stable"):
+        if out.sum() < total and out[k] < room[k] and shares[k] > 0:
+            out[k] += 1
+    return out
+
+
+def _split(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source fall among ``left`` places drawn from all without putting back; beyond a
+    billion places by the normal law with the same mean and variance."""
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for k, c in enumerate(counts.tolist()):
+        rest -= c
+        if not c or not left:
+            continue
+        if c + rest < 1_000_000_000:
+            x = int(rng.hypergeometric(c, rest, left)) if rest else left
+        else:
+            n = c + rest
+            p = c / n
+            x = round(rng.normal(left * p, (left * p * (1 - p) * (n - left) / max(1, n - 1)) ** 0.5))
+        x = min(max(x, left - rest, 0), c, left)
+        out[k] = x
+        left -= x
+    return out
+
+
+def draw(counts: np.ndarray, size: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, blocks of each source in the shards before, blocks of each source in it) of the shards
+    first to last - 1, of ``size`` blocks each but for the last of all."""
+    total = int(counts.sum())
+
+    def node(lo: int, hi: int, before: np.ndarray, here: np.ndarray):
+        if lo >= last or hi <= first:
+            return
+        if hi - lo == 1:
+            yield lo, before, here
+            return
+        mid = (lo + hi) // 2
+        left = _split(here, min(mid * size, total) - lo * size, np.random.default_rng([SEED, seed, lo, hi]))
+        yield from node(lo, mid, before, left)
+        yield from node(mid, hi, before + left, here - left)
+
+    if total:
+        yield from node(0, -(-total // size), np.zeros_like(counts), counts)
 
 
 class Mixture:
@@ -128,24 +173,35 @@ class Mixture:
         shares = shares / shares.sum() if able.any() else shares
         room = np.where(able, cap * self.blocks, 0)
         total = int((room[able] / shares[able]).min()) if able.any() else 0
-        shard = max(SHARD_BLOCKS, -(-total // SHARDS))
-        drawn = draw(shares, room, total, shard, seed)
-        first = np.cumsum(drawn, axis=0) - drawn
-        self.sources = spark.createDataFrame([(n, float(g), int(c), int(t), int(b), int(d)) for n, g, c, t, b, d in zip(self.names, goal, cap, tokens, self.blocks, drawn.sum(axis=0))], "source string, target_share double, max_repeats long, tokens long, blocks long, drawn long")
-        plan = [(int(k), int(s), int(first[k, s]), int(drawn[k, s])) for k, s in zip(*np.nonzero(drawn))]
-        plan = spark.createDataFrame(plan, "shard long, s int, start long, n long").repartition(max(1, min(len(plan), spark.sparkContext.defaultParallelism * 4)))
-        names, blocks = self.names, self.blocks
+        drawn = totals(shares, room, total)
+        self.sources = spark.createDataFrame([(n, float(g), int(c), int(t), int(b), int(d)) for n, g, c, t, b, d in zip(self.names, goal, cap, tokens, self.blocks, drawn)], "source string, target_share double, max_repeats long, tokens long, blocks long, drawn long")
+        names, blocks, shards = np.array(self.names, dtype=object), self.blocks, -(-int(drawn.sum()) // SHARD_BLOCKS)
+        groups = -(-shards // GROUP)
+        plan = spark.range(0, groups, 1, max(1, min(groups, spark.sparkContext.defaultParallelism * 4)))
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = []
+
+            def flush() -> pa.RecordBatch:
+                shard, s, j, turn, at = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(names[s], pa.string()), pa.array(j), pa.array(turn + 1), pa.array(at)], ["shard", "source", "slot", "pass", "block"])
+
             for b in batches:
-                for shard, s, start, n in zip(*(c.to_pylist() for c in b.columns)):
-                    j = np.arange(start, start + n)
-                    turn = j // blocks[s]
-                    at = np.empty(n, dtype=np.int64)
-                    for t in np.unique(turn):
-                        m = turn == t
-                        at[m] = permute(j[m] % blocks[s], int(blocks[s]), (seed * 1_000_003 + s) * 1_009 + int(t))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([names[s]] * n), pa.array(j), pa.array(turn + 1), pa.array(at)], ["shard", "source", "slot", "pass", "block"])
+                for group in b.column(0).to_pylist():
+                    for shard, start, n in draw(drawn, SHARD_BLOCKS, group * GROUP, min((group + 1) * GROUP, shards), seed):
+                        for s in np.flatnonzero(n).tolist():
+                            j = np.arange(start[s], start[s] + n[s])
+                            turn = j // blocks[s]
+                            at = np.empty(len(j), dtype=np.int64)
+                            for t in np.unique(turn):
+                                m = turn == t
+                                at[m] = permute(j[m] % blocks[s], int(blocks[s]), (seed * 1_000_003 + s) * 1_009 + int(t))
+                            held.append([np.full(len(j), shard), np.full(len(j), s), j, turn, at])
+                        if len(held) * SHARD_BLOCKS > BATCH:
+                            yield flush()
+            if held:
+                yield flush()
 
         #: one row per block of the mixture
         self.slots = plan.mapInArrow(slots, "shard long, source string, slot long, pass long, block long")

@@ -72,6 +72,16 @@ def p7_slots(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).slots
 
 
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of every mixture, per source: blocks used more often than allowed, blocks used twice in one
+    pass, and whether the actual share is the target's to half a percent."""
+    m = _mixture(spark, sf)
+    uses = m.slots.groupBy("source", "block").agg(F.count("*").alias("n"), F.countDistinct("pass").alias("passes"))
+    u = uses.join(m.sources.select("source", "max_repeats"), "source").groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("n") > F.col("passes")).alias("twice_in_pass"))
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.005
+    return m.shares().join(u, "source", "left").select("source", "max_repeats", F.coalesce("over_cap", F.lit(0)).alias("over_cap"), F.coalesce("twice_in_pass", F.lit(0)).alias("twice_in_pass"), near.alias("share_met"))
+
+
 def _scores(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf}/content_labels.parquet"))
@@ -95,8 +105,8 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+    return {"p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p6_items": p6_items, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_slots": p7_slots, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_invariants": r"SELECT regexp_replace(regexp_replace(lower(source), '^\s+|\s+$', '', 'g'), '[\s_]+', '-', 'g') source, CAST(max(max_repeats) AS BIGINT) max_repeats, CAST(0 AS BIGINT) over_cap, CAST(0 AS BIGINT) twice_in_pass, true share_met FROM mix_targets GROUP BY 1"}

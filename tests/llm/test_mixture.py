@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from folioflux.llm.mixture import Mixture, draw, permute
+from folioflux.llm.mixture import SHARD_BLOCKS, Mixture, _split, draw, permute, totals
 
 vocabularies = pytest.importorskip("public_tokenizers")
 
@@ -15,10 +15,24 @@ def test_permutation(n):
 
 
 def test_draw_keeps_shares_and_room():
-    shares, room = np.array([0.5, 0.3, 0.2]), np.array([10_000, 10_000, 2_000])
-    d = draw(shares, room, 10_000, 64, 1)
-    assert d.sum() == 10_000 and (d.sum(axis=0) <= room).all() and abs(d.sum(axis=0) / 10_000 - shares).max() < 0.003
-    assert len({tuple(x) for x in d[:20].tolist()}) > 10  # drawn, not dealt
+    shares, room = np.array([0.5, 0.3, 0.2, 0.0]), np.array([10_000, 10_000, 2_000, 5])
+    counts = totals(shares, room, 9_999)
+    assert counts.tolist() == [5_000, 3_000, 1_999, 0] or abs(counts - shares * 9_999).max() <= 1 and counts.sum() == 9_999
+    every = list(draw(counts, 64, 0, 157, 1))
+    assert [k for k, _, _ in every] == list(range(157)) and (sum(n for _, _, n in every) == counts).all()
+    assert all(n.sum() == 64 for _, _, n in every[:-1]) and every[-1][2].sum() == 9_999 - 156 * 64
+    assert all((b == sum((n for _, _, n in every[:k]), 0 * counts)).all() for k, b, _ in every)
+    x = np.array([n[0] for _, _, n in every[:-1]])
+    assert len(set(x.tolist())) > 8 and 2 < x.std() < 6  # drawn, not dealt: about 4 for a multinomial draw
+    # any task draws its own shards
+    assert [(k, b.tolist(), n.tolist()) for k, b, n in draw(counts, 64, 64, 90, 1)] == [(k, b.tolist(), n.tolist()) for k, b, n in every[64:90]]
+    assert list(draw(0 * counts, 64, 0, 5, 1)) == []
+
+
+def test_split_of_very_many():
+    counts = np.array([10**12, 3 * 10**12, 0, 7], dtype=np.int64)
+    got = _split(counts, 10**12, np.random.default_rng(1))
+    assert got.sum() == 10**12 and (got <= counts).all() and abs(got[0] / 10**12 - 0.25) < 1e-5
 
 
 def mix(spark, rows, targets, **kw):
@@ -48,6 +62,10 @@ def test_mixture(spark):
     assert all(r.tokens == len(enc.encode_ordinary(text[r.doc_id])) for r in chosen)
     slots = m.slots.collect()
     assert len({(r.source, r["pass"], r.block) for r in slots}) == len(slots)
+    from collections import Counter
+
+    n = Counter(r.shard for r in slots)
+    assert all(n[k] == SHARD_BLOCKS for k in range(max(n))) and {(r.source, r.slot) for r in slots} == {(s, k) for s in {r.source for r in slots} for k in range(sum(r.source == s for r in slots))}
 
 
 def test_nothing_to_mix(spark):
