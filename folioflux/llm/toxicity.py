@@ -173,6 +173,11 @@ def _odds(flagged: list[list[list[str]]], rest: list[list[list[str]]]) -> dict[s
     return {w: float(np.log((c - 0.5) / n / ((b[w] + 0.5) / m))) for w, c in a.items() if c >= max(2, 0.006 * n) and c / n > 3 * (b[w] + 0.5) / m}
 
 
+#: Sentences of unflagged documents trained on besides those that look most like the flagged ones, and how
+#: many of these are looked at a round; part of the bounded sample.
+BASE, NEAREST = 3_000, 800
+#: Margin from which a sentence counts to a second kind.
+SECOND = 0.5
 #: Added to the number of words of a sentence, so that one odd word is not a sentence.
 SHORT = 3
 
@@ -211,7 +216,7 @@ def train(docs: list[tuple[str, list[str]]], rounds: int = 5) -> Model:
         phi[k : k + 1000] = np.add.reduceat(f[ids], np.append(0, np.cumsum(size)[:-1]), axis=0) / np.sqrt(size + SHORT)[:, None]
 
     rest = np.array(sorted(clean_docs), dtype=np.int64)
-    base = np.random.default_rng(7).permutation(rest)[:3000]
+    base = np.random.default_rng(7).permutation(rest)[:BASE]
     weights, bias = np.zeros((len(KINDS), ws.map.shape[1])), np.zeros(len(KINDS))
     for c, kind in enumerate(KINDS):
         n, m = len(flagged_at[kind]) + 1, len(clean) + 1
@@ -239,7 +244,7 @@ def train(docs: list[tuple[str, list[str]]], rounds: int = 5) -> Model:
                     if told[best] > 0.5 and margin[best] > (-1.6 if r == 0 else -0.2) or margin[best] > 0.7:
                         chosen.append(best)
             near = set(chosen)
-            top = rest[np.argsort(-margin[rest], kind="stable")[:800]]
+            top = rest[np.argsort(-margin[rest], kind="stable")[:NEAREST]]
             # an unflagged document may be wrongly unflagged: what looks just like the chosen stays out
             hard = {int(i) for i in (*top, *hard) if i in common or i not in near and (margin[i] < 0.8 or not told_like(keys[i], odds[kind]))}
         weights[c], bias[c] = w[:-1], w[-1]
@@ -251,6 +256,13 @@ def told_like(s: tuple[str, ...], odds: dict[str, float]) -> bool:
     return sum(w in odds for w in s) > 0.4 * len(s)
 
 
+def of_kinds(margin: np.ndarray) -> np.ndarray:
+    """Margins of sentences by kind: a sentence counts to the kind it is most like, and to another only if
+    it is of that kind for sure, as kinds share words; else the other margin is 0 at most."""
+    other = margin < margin.max(axis=1, keepdims=True)
+    return np.where(other & (margin < SECOND), np.minimum(margin, 0), margin)
+
+
 class Scorer:
     """Margins of sentences by per-word look-up."""
 
@@ -303,8 +315,7 @@ class Scorer:
                 sums = sums[sums[:, -1] > 0]
                 if len(sums):
                     margin = sums[:, :-1] / np.sqrt(sums[:, -1:] + SHORT) + self.model.bias
-                    # a sentence counts to the kind it is most like
-                    out[at + k] = np.where(margin < margin.max(axis=1, keepdims=True), np.minimum(margin, 0), margin).max(axis=0)
+                    out[at + k] = of_kinds(margin).max(axis=0)
         return out
 
 

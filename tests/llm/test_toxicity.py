@@ -73,3 +73,8 @@ def test_without_labels_the_seeds_hold(spark):
     model = t.train([])
     s = t.Scorer(model).score(["You are a worthless idiot. Fine.", "The bound is tight and the proof is short.", "Free porn with naked girls!"])
     assert s[0, 0] > 0 and s[1].max() < 0 and s[2, 2] > 0
+
+
+def test_kinds_of_one_sentence():
+    margin = np.array([[0.9, 0.6, -0.2], [0.4, 0.3, 0.1], [-1.0, -0.5, -0.7]])
+    assert t.of_kinds(margin).tolist() == [[0.9, 0.6, -0.2], [0.4, 0.0, 0.0], [-1.0, -0.5, -0.7]]
