@@ -215,8 +215,9 @@ class Mixture:
         return p.select("source", "block", "doc_id", F.col("tokens").alias("doc_tokens"), size.alias("piece_tokens"))
 
     def used(self) -> DataFrame:
-        """(source, block, uses)."""
-        return self.slots.groupBy("source", "block").agg(F.count("*").alias("uses"))
+        """(source, block, uses). Slots come from a range of numbers, so their size is not to be guessed
+        from it: joins with them are told not to send this side to every task."""
+        return self.slots.groupBy("source", "block").agg(F.count("*").alias("uses")).hint("merge")
 
     def chosen(self) -> DataFrame:
         """One row per chosen record: its tokens, how often its most used part is used, and the
@@ -227,7 +228,7 @@ class Mixture:
     def shares(self) -> DataFrame:
         """Per source the target and the actual share of all tokens drawn."""
         last = self.records.groupBy("source").agg((F.sum("tokens") - 1).alias("end"))
-        u = self.used().join(last, "source")
+        u = self.used().join(F.broadcast(last), "source")  # one row per source of the targets
         size = F.least(F.lit(self.block), F.col("end") + 1 - F.col("block") * self.block)
         got = u.groupBy("source").agg(F.sum(F.col("uses") * size).alias("tokens_used"), F.max("uses").alias("most_repeats"))
         out = self.sources.join(got, "source", "left").na.fill(0, ["tokens_used", "most_repeats"])

@@ -77,7 +77,7 @@ def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
     pass, and whether the actual share is the target's to half a percent."""
     m = _mixture(spark, sf)
     uses = m.slots.groupBy("source", "block").agg(F.count("*").alias("n"), F.countDistinct("pass").alias("passes"))
-    u = uses.join(m.sources.select("source", "max_repeats"), "source").groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("n") > F.col("passes")).alias("twice_in_pass"))
+    u = uses.join(F.broadcast(m.sources.select("source", "max_repeats")), "source").groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("n") > F.col("passes")).alias("twice_in_pass"))
     near = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.005
     return m.shares().join(u, "source", "left").select("source", "max_repeats", F.coalesce("over_cap", F.lit(0)).alias("over_cap"), F.coalesce("twice_in_pass", F.lit(0)).alias("twice_in_pass"), near.alias("share_met"))
 
