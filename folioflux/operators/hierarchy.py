@@ -18,9 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.session import materialise, shuffle_partitions
+from folioflux.session import materialise, partitions_for
 
-#: Nodes of one partition of a smaller forest; such a partition is solved in memory.
+#: Nodes of one partition at every level; a partition is solved in memory.
 PART_ROWS = 200_000
 #: Levels at which chains that do not shrink are shortened by joins; each shortens them eightfold.
 SHORTENED = 12
@@ -192,13 +192,14 @@ def resolve(df: DataFrame, group: str, node: str, parent: str, position: str | N
     null group or node are left out: nothing can name them. ``position`` (say, the start time) only
     puts related nodes near each other; without it nodes are taken by name. Empty in, empty out.
     """
-    spark = df.sparkSession
-    n = partitions or shuffle_partitions(spark)
     root = F.coalesce(F.col(f"`{is_root}`").cast("boolean"), F.lit(False)) if is_root else F.lit(True)
     none = F.lit(None).cast("array<string>")
     nodes = df.select(
         F.col(f"`{group}`").cast("string").alias("g"), F.col(f"`{node}`").cast("string").alias("id"), (F.coalesce(F.col(f"`{position}`").cast("long"), F.lit(0)) if position else F.lit(0)).cast("long").alias("pos"),
         F.col(f"`{parent}`").cast("string").alias("parent"), root.alias("r")).filter("g is not null and id is not null")
+    # Written once: the range bounds are drawn from it, and the partitions are as many as its rows need.
+    nodes = materialise(nodes)
+    n = partitions or partitions_for(nodes, PART_ROWS)
     nodes = nodes.select(
         "g", "id", "pos", "parent", F.lit(1).cast("long").alias("w"), F.col("id").alias("low"), F.when(F.col("r"), "R").otherwise("E").alias("kind"), F.col("id").alias("top"), F.lit(0).cast("long").alias("depth"),
         (F.array("id") if with_paths else none).alias("seg"), (F.array("id") if with_paths else none).alias("path"))

@@ -76,7 +76,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, parti
     shared_dir(spark)
     n = partitions or shuffle_partitions(spark)
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(f"`{k}`").alias(m) for k, m in zip(keys, names)], F.col(f"`{start}`").cast("long").alias("s"), F.col(f"`{end}`").cast("long").alias("e")).filter("e > s")
+    rows = df.select(*[F.col(f"`{k}`").alias(m) for k, m in zip(keys, names)], F.col(f"`{start}`").cast("long").alias("s"), F.col(f"`{end}`").cast("long").alias("e")).filter("e > s").distinct()  # equal rows cannot be split by a range sort
     order = [*names, "s", "e"]
     # Both scans must see the same partitions: the range bounds are drawn anew each time a plan runs.
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
