@@ -106,12 +106,13 @@ def filter_reports(df: DataFrame, trace_id: str | None = None, run_type: str | N
     return df.filter(reduce(lambda a, b: a & b, conds)) if conds else df
 
 
-def mentions(docs: DataFrame, key: str, text: str, paths: DataFrame, path: str) -> DataFrame:
-    """(path, key): texts that mention a path as a whole token. Paths are few distinct tokens of texts, so the
-    tokens of texts are joined to them instead of trying every pair."""
+def mentions(docs: DataFrame, key: str, text: str, paths: DataFrame, path: str, form=lambda c: c) -> DataFrame:
+    """(path, key): texts that mention a path as a whole token, both compared in one ``form`` (say, without
+    suffix). Paths are few distinct tokens of texts, so the tokens of texts are joined to them instead of
+    trying every pair."""
     t = docs.select(F.col(key), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[\w./-]*\w"), F.lit(0)))).alias("__t"))
-    t = t.withColumn("__t", F.regexp_replace("__t", r"^\./", ""))
-    return t.join(paths.select(F.col(path).alias("__t")).distinct(), "__t").select(F.col("__t").alias(path), key).distinct()
+    t = t.withColumn("__t", form(F.regexp_replace("__t", r"^\./", "")))
+    return t.join(paths.select(form(F.col(path)).alias("__t")).distinct(), "__t").select(F.col("__t").alias(path), key).distinct()
 
 
 def without_launch(cancelled: DataFrame, launches: DataFrame, cols: list[str]) -> DataFrame:

@@ -162,8 +162,9 @@ def page_cross_check(spark, sf):
 
 
 def doc_sizes(spark, sf):
-    """Documents whose declared size is not that of their text."""
-    return read(spark, sf, "documents").filter(F.col("n_chars") != F.length("text")).select("doc_id", "n_chars", F.length("text").alias("found"))
+    """Declared against found sizes of texts, by primary class."""
+    d = read(spark, sf, "documents").groupBy("primary_class")
+    return d.agg(F.count("*").alias("documents"), F.sum("n_chars").alias("declared"), F.sum(F.length("text").cast("long")).alias("found"), F.count_if(F.col("n_chars") != F.length("text")).alias("wrong"))
 
 
 def doc_missing_files(spark, sf):
@@ -255,11 +256,11 @@ def run_looks(spark, sf):
 
 
 def doc_mentioned_files(spark, sf):
-    """Documents that name a file that came with some paper."""
+    """Documents that name a file that came with some paper, with or without its suffix."""
     from folioflux.functions.records import mentions
 
     d = read(spark, sf, "documents")
-    return mentions(d.filter("text is not null"), "doc_id", "text", d.select(F.explode("file_list").alias("path")), "path")
+    return mentions(d.filter("text is not null"), "doc_id", "text", d.select(F.explode("file_list").alias("path")), "path", lambda c: F.regexp_replace(c, r"\.[A-Za-z]{2,4}$", ""))
 
 
 def event_usage(spark, sf):
@@ -352,7 +353,7 @@ c AS (SELECT *, CASE WHEN lag(digits) OVER k = digits THEN 0 ELSE 1 END nw FROM
 SELECT doc_sha256, page_number, run, digits, count(*) pieces, CAST(sum(length(text)) AS INT) chars FROM d GROUP BY ALL""",
     "page_methods": f"WITH {_NP}, {_RP} SELECT n.doc_sha256, n.page_number, CASE WHEN r.text IS NOT NULL THEN 'ocr' ELSE 'native' END AS \"method\", CAST(length(coalesce(r.text, n.text, '')) AS INT) chars FROM n LEFT JOIN r USING (doc_sha256, page_number)",
     "page_amended": f"WITH {_NP}, {_RP} SELECT doc_sha256, page_number, CAST(length(text) AS INT) chars FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_sha256 = n.doc_sha256 AND r.page_number = n.page_number) UNION ALL SELECT doc_sha256, page_number, CAST(length(text) AS INT) FROM r",
-    "doc_sizes": "SELECT doc_id, n_chars, CAST(length(text) AS INT) found FROM documents WHERE n_chars <> length(text)",
+    "doc_sizes": "SELECT primary_class, count(*) documents, CAST(sum(n_chars) AS BIGINT) declared, CAST(sum(length(text)) AS BIGINT) found, count(*) FILTER (n_chars <> length(text)) wrong FROM documents GROUP BY 1",
     "doc_missing_files": r"""WITH i AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\(?:input|include|includegraphics)(?:\[[^\]]*\])?\{([^}]*)\}', 1))) file, file_list FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, file FROM i WHERE len(list_filter(coalesce(file_list, []), lambda f: f = file OR regexp_replace(f, '\.[A-Za-z0-9]+$', '') = file)) = 0""",
     "doc_file_types": r"SELECT CASE lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) WHEN 'tex' THEN 'text/x-tex' WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'bib' THEN 'text/x-bibtex' WHEN 'txt' THEN 'text/plain' ELSE 'application/octet-stream' END media_type, count(*) files, count(DISTINCT doc_id) documents FROM (SELECT doc_id, unnest(file_list) path FROM documents) GROUP BY 1",
@@ -367,7 +368,7 @@ b AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(line, '^\\(sub)*section') THEN
     "doc_glob_families": r"SELECT path, CASE WHEN regexp_full_match(path, 'fig[^/]*/.*') THEN 'figures' WHEN regexp_full_match(path, 'sections/[^/]*') THEN 'sections' WHEN regexp_full_match(path, '(?:.*/)?[^/]*\.tex') THEN 'sources' ELSE 'rest' END family FROM (SELECT DISTINCT unnest(file_list) path FROM documents)",
     "label_tallies": "SELECT strftime(rated_at, '%Y-%m') || '-w' || CAST((day(rated_at) - 1) // 7 + 1 AS VARCHAR) AS \"week\", coalesce(kind, 'none') kind, count(*) judgements, count(*) FILTER (flagged = 1) flagged FROM content_labels WHERE rated_at IS NOT NULL GROUP BY 1, 2",
     "label_disagreements": "SELECT doc_id, count(DISTINCT rater) raters, count(DISTINCT concat_ws('|', CAST(flagged AS VARCHAR), coalesce(kind, 'none'))) verdicts FROM content_labels GROUP BY 1 HAVING count(DISTINCT concat_ws('|', CAST(flagged AS VARCHAR), coalesce(kind, 'none'))) > 1",
-    "doc_mentioned_files": r"""WITH t AS (SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[\w./-]*\w')), '^\./', '') path FROM documents WHERE text IS NOT NULL) SELECT path, doc_id FROM t WHERE path IN (SELECT unnest(file_list) FROM documents)""",
+    "doc_mentioned_files": r"""WITH f AS (SELECT DISTINCT regexp_replace(unnest(file_list), '\.[A-Za-z]{2,4}$', '') path FROM documents), t AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '[\w./-]*\w')), '^\./', ''), '\.[A-Za-z]{2,4}$', '') path FROM documents WHERE text IS NOT NULL) SELECT path, doc_id FROM t JOIN f USING (path)""",
     "event_usage": "SELECT event_type, CAST(sum(k) AS BIGINT) total, count(k) n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events) GROUP BY 1",
     "event_interval_union": """WITH q AS (SELECT DISTINCT user_id, epoch_us(ts) s, epoch_us(ts) + CAST(floor(value * 600) AS BIGINT) e FROM events), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pm FROM q WHERE e > s) SELECT user_id, CAST(sum(greatest(0, e - greatest(s, coalesce(pm, s)))) AS BIGINT) union_us FROM m GROUP BY 1""",
     "event_peak_concurrency": """WITH q AS (SELECT user_id, epoch_us(ts) s, epoch_us(ts) + CAST(floor(value * 600) AS BIGINT) e FROM events WHERE value IS NOT NULL), v AS (SELECT user_id, s t, 1 d FROM q UNION ALL SELECT user_id, e, -1 FROM q), r AS (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) n FROM v) SELECT user_id, CAST(greatest(0, max(n)) AS BIGINT) peak FROM r GROUP BY 1""",
@@ -375,7 +376,7 @@ b AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(line, '^\\(sub)*section') THEN
     "page_identity": f"WITH {_NP} SELECT doc_sha256, page_number, sha256(concat_ws(chr(10) || chr(10), doc_sha256, CAST(page_number AS VARCHAR), text)) AS identity FROM n",
     "page_strips": f"WITH {_RP} SELECT doc_sha256, page_number, CAST(i AS INT) strip, CAST(i * 8000 AS INT) top, CAST((i + 1) * 8000 AS INT) bottom FROM r, unnest(range(0, bands)) t(i) WHERE bands >= 1",
     "page_block_kinds": rf"""WITH {_RP}, b AS (SELECT unnest(string_split(text, chr(10) || chr(10))) b FROM r), l AS (SELECT string_split(b, chr(10)) a FROM b), k AS (SELECT a, list_max(list_transform(a, lambda x: length(x))) f FROM l)
-SELECT CASE WHEN len(list_filter(a, lambda x: regexp_matches(x, '^\s*(?:[-*•‣▪◦–]|\(?\d{{1,3}}[.)])\s+\S'))) > 0 THEN 'list' WHEN len(a) > 1 AND len(list_filter(a[:len(a) - 1], lambda x: NOT length(x) >= 0.75 * f)) = 0 THEN 'wrapped' ELSE 'lines' END kind, count(*) blocks FROM k GROUP BY 1""",
+SELECT CASE WHEN len(list_filter(a, lambda x: regexp_matches(x, '^\s*(?:[-*•‣▪◦–]|\(?\d{{1,3}}[.)])\s+\S'))) > 0 THEN 'list' WHEN len(a) > 0 AND len(list_filter(a[:len(a) - 1], lambda x: NOT length(x) >= 0.75 * f)) = 0 THEN 'wrapped' ELSE 'lines' END kind, count(*) blocks FROM k GROUP BY 1""",
     "item_tables": "SELECT task, '| task | test | all |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || task || ' | ' || count(*) FILTER (split = 'test') || ' | ' || count(*) || ' |' AS \"table\" FROM eval_items GROUP BY task",
     "run_looks": r"SELECT size, bold, italic, mono, count(*) runs FROM (SELECT round_even(2 * (l_quantity / 4), 0) / 2 size, (CAST(l_partkey AS INT) & 16) > 0 OR l_linenumber = 1 bold, (CAST(l_partkey AS INT) & 2) > 0 OR l_linenumber <> 1 italic, (CAST(l_partkey AS INT) & 8) > 0 mono FROM lineitem) GROUP BY ALL",
 }
