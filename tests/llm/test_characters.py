@@ -48,6 +48,18 @@ def test_whole_words_of_look_alikes(spark):
     assert all(r.kinds == [] for r in got.values())
 
 
+def test_letters_of_further_scripts(spark):
+    more = lookalikes.confusables(spark)
+    of = {(x, latin): c for c, latin, x in more}
+    assert len(more) > 60 and of["Cherokee", "A"] == "\u13aa" and of["Lisu", "B"] == "\ua4d0"
+    lookalikes.extend(more)
+    mixed = "S" + of["Cherokee", "A"] + "LT and " + of["Lisu", "B"] + "OOK"
+    assert lookalikes.normalise(mixed) == ("SALT and BOOK", ["lookalike"])
+    rightly = "\u13e3\u13b3\u13a9 \ua4e1\ua4f3\ua4f2 and then English words follow here"
+    assert lookalikes.normalise(rightly) == (rightly, [])
+    assert lookalikes.normalise("двaжды чтo sеnѕοr") == ("дважды что sensor", ["lookalike"])
+
+
 WORDS = "Größe wäre für Höhe; été déjà près; señal año; ação não; żółć długość; “quoted” isn’t—so; проверка показывает, что граница устойчивой; μέτρηση παραμένει σταθερή; 16 m² 5 °C 3 €"
 
 
