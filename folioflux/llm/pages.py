@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def inspection_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """(origin, doc_sha256, page_number, text) of text layers. Repeated inspections go before the
-    explode, by the hash of the text, so no page text is shuffled."""
+    """(origin, doc_sha256, page_number, text) of text layers, one row per inspection: no page text is
+    shuffled to find repeated ones, the operators give one result for equal pages."""
     i = spark.read.parquet(f"{sf}/inspections.parquet").filter("page_texts is not null")
     return i.select(F.lit("inspections").alias("origin"), "doc_sha256", F.posexplode("page_texts").alias("at", "text")).select("origin", "doc_sha256", (F.col("at") + 1).cast("long").alias("page_number"), "text")
 
