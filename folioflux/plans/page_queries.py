@@ -380,7 +380,14 @@ SELECT CASE WHEN len(list_filter(a, lambda x: regexp_matches(x, '^\s*(?:[-*•
     "item_tables": "SELECT task, '| task | test | all |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || task || ' | ' || count(*) FILTER (split = 'test') || ' | ' || count(*) || ' |' AS \"table\" FROM eval_items GROUP BY task",
     "run_looks": r"SELECT size, bold, italic, mono, count(*) runs FROM (SELECT round_even(2 * (l_quantity / 4), 0) / 2 size, (CAST(l_partkey AS INT) & 16) > 0 OR l_linenumber = 1 bold, (CAST(l_partkey AS INT) & 2) > 0 OR l_linenumber <> 1 italic, (CAST(l_partkey AS INT) & 8) > 0 mono FROM lineitem) GROUP BY ALL",
 }
-ROWS_ONLY = ["doc_word_gate", "page_cross_check", "image_hashes"]
+_GATE = r"list_filter(regexp_split_to_array(translate(regexp_replace(regexp_replace({0}, '(?m)^(#{{1,6}} |- |> )', '', 'g'), '\]\([^()\s]*\)', ']', 'g'), '*`|\[]•‣▪◦●○∙·', ''), '\s+'), lambda x: x <> '' AND NOT regexp_full_match(x, '[-:]+'))"
+_BIT = "CASE WHEN v[((4 * k + i) // 8) * 9 + (4 * k + i) % 8 + 1] < v[((4 * k + i) // 8) * 9 + (4 * k + i) % 8 + 2] THEN 8 >> CAST(i AS INT) ELSE 0 END"
+SQL |= {
+    "doc_word_gate": rf"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '(?m)^([A-Z])', '## \1', 'g') good FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, {_GATE.format("text || ' more'")} = {_GATE.format('text')} a, {_GATE.format('good')} = {_GATE.format('text')} b, text = good same FROM d)
+SELECT doc_id, CASE WHEN NOT a AND NOT b THEN 'words-changed' END reason, CASE WHEN a THEN false WHEN b THEN true ELSE same END took_second FROM g""",
+    "image_hashes": f"SELECT vec_id, array_to_string(list_transform(range(16), lambda k: substr('0123456789abcdef', CAST(list_sum(list_transform(range(4), lambda i: {_BIT})) AS INT) + 1, 1)), '') hash FROM (SELECT vec_id, flatten([{', '.join(['embedding'] * 9)}])[1:72] v FROM embeddings)",
+}
+ROWS_ONLY = ["page_cross_check"]
 
 
 def queries() -> dict:
