@@ -250,7 +250,9 @@ class Scan:
         text = F.regexp_replace(F.lower("x.line"), "[0-9 ]+", "")
         lines_ = e.withColumn("k", F.col("x.k"))
         heads = lines_.join(sure, ["k", "g"]).select("g", half, text.alias("head")).filter("h <> 0").distinct()
-        rest = lines_.join(sure, ["k", "g"], "left_anti").select("k", "g", half, text.alias("line")).filter("h <> 0")
+        # Found by hashes first: the lines themselves are read for the few forms that share a half.
+        share = lines_.join(sure, ["k", "g"], "left_anti").select("k", "g", half).filter("h <> 0").join(heads.select("g", "h").distinct(), ["g", "h"], "left_semi").select("k", "g").distinct()
+        rest = lines_.join(materialise(share), ["k", "g"]).select("k", "g", half, text.alias("line")).filter("h <> 0")
         near = rest.join(heads, ["g", "h"]).filter(F.levenshtein("line", "head", FUZZY).between(0, FUZZY) & (F.length("head") >= 8 * FUZZY)).select("k", "g")
         return sure.unionByName(near).distinct()
 
