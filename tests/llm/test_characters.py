@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,25 @@ def test_letters_of_further_scripts(spark):
     assert lookalikes.normalise("двaжды чтo sеnѕοr") == ("дважды что sensor", ["lookalike"])
 
 
+def _checker(skeleton):
+    """A class path whose table of confusables answers so."""
+    built = SimpleNamespace(build=lambda: SimpleNamespace(getSkeleton=skeleton))
+    text = SimpleNamespace(SpoofChecker=SimpleNamespace(Builder=lambda: built))
+    return SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=text))))
+
+
+@pytest.mark.parametrize(("jvm", "says"), [
+    (lambda spark: spark._jvm.no.such, "icu4j"),  # no such class there
+    (lambda spark: _checker(lambda text: text[:101]), "51 of"),
+    (lambda spark: _checker(lambda text: text), "no look-alike letters of Cherokee, Lisu, Coptic, Deseret"),
+])
+def test_no_table_of_confusables_is_an_error(spark, jvm, says):
+    session = SimpleNamespace(_jvm=jvm(spark))
+    for _ in range(2):  # nothing is kept of the failed call
+        with pytest.raises(RuntimeError, match=says):
+            lookalikes.confusables(session)
+
+
 WORDS = "Größe wäre für Höhe; été déjà près; señal año; ação não; żółć długość; “quoted” isn’t—so; проверка показывает, что граница устойчивой; μέτρηση παραμένει σταθερή; 16 m² 5 °C 3 €"
 
 
