@@ -37,6 +37,8 @@ RARER = 5
 ERRORS = 2
 #: Misread forms that are sent to every task; with more, words meet them in a join instead.
 SENT = 300_000
+#: Pieces of text between white space that a task remembers.
+PIECES = 200_000
 
 # What scanners make of letters (intended, read).
 CONFUSED = """
@@ -50,18 +52,21 @@ for _a, _b in PAIRS:
     _BACK.setdefault(_b, []).append(_a)
 #: Confused letters end in the same strokes, whatever the confusion.
 _STROKES = {"m": "lll", "n": "ll", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "d": "cl", "w": "vv", "i": "l", "1": "l", "t": "l", "f": "l", "r": "l", "|": "l", "j": "l", "e": "c", "o": "c", "0": "c", "a": "c", "5": "s", "9": "g", "q": "g", "y": "v", "2": "z"}
-STROKES = {i: _STROKES.get(chr(i), chr(i)) for i in range(0x530)}  # one look-up for every letter
+# In two steps, as letters that become one letter each are exchanged much faster: those of the strokes ll stand as n till the end.
+_LETTERS = {ord(a): "n" if b == "ll" else b for a, b in _STROKES.items() if b == "ll" or len(b) == 1}
+_GROUPS = [(a, b) for a, b in _STROKES.items() if len(b) > 1 and (b != "ll" or a == "n")]
 
+_HYPHENS = "-¬‐\xad"
 _LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _BROKEN = re.compile(r"([^\W\d_][^\W_]*(?:-[^\W_]+)*)[-¬‐­]\s*$")
-_BREAKS = re.compile("[-¬‐\xad][ \t]*(?:[\r\n\x0b\x0c\x85\u2028\u2029]|$)")
 _STARTS = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
 _NUMBER = re.compile(r"(?:[-–—\[(|.~*\s]*)(?:p(?:age|\.|g\.)?\s*)?([0-9lIOoSB|]{1,5}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOoSB|]{1,5})?(?:[-–—\])|~*\s]*)", re.IGNORECASE)
 _ROMAN = re.compile(r"(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _MASK = re.compile(r"(?<![^\W_])(?:[0-9lIOoSB|]*[0-9][0-9lIOoSB|]*|[lIO|])(?![^\W_])")
+#: Found in every line that _MASK changes, and faster.
+_MASKED = re.compile(r"[0-9|IOl](?:(?<!l)|(?<![^\W_]l)(?![^\W_]))")
 _FIVE = re.compile("[a-z]{5}")
-_WORDS = re.compile(r"\w+(?:-\w+)*")
 _PAGED = re.compile(r"[0-9lIOSB|]{1,5}\s{2,}\S.*|.*\S\s{2,}[0-9lIOSB|]{1,5}")
 #: Words that follow a hyphen left hanging (pre- and post-war), unless the corpus knows the whole (detect-or).
 HANGING = {"and", "or", "to", "und", "oder", "bis", "et", "ou", "y", "e", "o", "i", "lub", "и", "или", "και"}
@@ -80,8 +85,16 @@ def key(line: str) -> str:
     """The line with its numbers masked and confusable letters folded; "" for what is no header."""
     if line[-1] in ".!?,;:-¬‐" and not line.endswith(("Vol.", "No.")):
         return ""
-    s = " ".join(_MASK.sub(" ", line).lower().split())
-    return s.translate(STROKES) if _FIVE.search(s) or sum(map(str.isalpha, s)) >= 5 else ""
+    s = " ".join((_MASK.sub(" ", line) if _MASKED.search(line) else line).lower().split())
+    return strokes(s) if _FIVE.search(s) or sum(map(str.isalpha, s)) >= 5 else ""
+
+
+def strokes(s: str) -> str:
+    """The text with confusable letters folded."""
+    s = s.translate(_LETTERS)
+    for a, b in _GROUPS:
+        s = s.replace(a, b)
+    return s
 
 
 def halves(form: str) -> tuple[str, str]:
@@ -105,31 +118,84 @@ def place(i: int, n: int) -> int:
     return i if i < EDGE else (i - n if n - i <= EDGE else EDGE)
 
 
-def scan_page(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]]]:
-    """(edge lines by place, breaks within the page by place of the line)."""
-    ls = lines(text)
+def scan_page(ls: list[str]) -> tuple[list[tuple[int, str]], list[tuple[int, str, str]], list[str]]:
+    """(edge lines by place, breaks within the page by place of the line, the words in lower case that
+    stand at the breaks) of a page of these lines."""
     n = len(ls)
     edges = [(place(i, n), ls[i]) for i in (range(n) if n <= 2 * EDGE else (*range(EDGE), *range(n - EDGE, n)))]
-    breaks = []
-    for i, x in enumerate(ls):
-        if x[-1] in "-¬‐\xad" and i + 1 < n and (m := _BROKEN.search(x)) and (q := _STARTS.match(ls[i + 1])):
+    breaks, off = [], []
+    for i in [i for i, x in enumerate(ls) if x[-1] in _HYPHENS]:
+        x, y = ls[i], ls[i + 1] if i + 1 < n else ""
+        last = x.rfind(" ") + 1
+        if y and (m := _BROKEN.search(x, last)) and (q := _STARTS.match(y)):
             breaks.append((place(i, n), m.group(1), q.group(1)))
-    return edges, breaks
-
-
-def whole_words(text: str) -> list[str]:
-    """Words of a page in lower case, broken ones left out."""
-    low = text.lower()
-    if not _BREAKS.search(low):
-        return (_TOKEN if "_" in low else _WORDS).findall(low)
-    out, broken = [], False
-    for x in lines(low):
-        w = _TOKEN.findall(x)
-        a, broken = int(broken), x[-1] in "-¬‐\xad"
-        out += w[a : len(w) - 1 if broken else len(w)]
+        off += (_TOKEN.findall(x[last:].lower()) or _TOKEN.findall(x.lower()))[-1:]
+        low = y.lower()
+        # the only word of a line that is broken itself counts there
+        if (q := _TOKEN.search(low)) and not (y[-1] in _HYPHENS and not _TOKEN.search(low, q.end())):
+            off.append(q.group())
+    return edges, breaks, off
+
+
+def page_words(text: str, forms: dict | None, fine: set[str] | None = None) -> set[tuple[int, str]]:
+    """(place of the line, word in lower case) of the words of a page, broken ones left out, of those in
+    ``forms`` if given. ``fine`` keeps the pieces of text that hold no form from page to page."""
+    odd: set[str] = set()
+    if forms is not None:
+        fine = set() if fine is None else fine
+        for c in {c for c in text.split() if c not in fine}:
+            (fine if forms.keys().isdisjoint(_TOKEN.findall(c.lower())) else odd).add(c)
+        if len(fine) > PIECES:
+            fine.clear()
+        if not odd:
+            return set()
+    out = set()
+    ls = lines(text)
+    n = len(ls)
+    for i, x in enumerate(ls):
+        if forms is not None and not any(c in x for c in odd):
+            continue
+        w = _TOKEN.findall(x.lower())
+        if x[-1] in _HYPHENS and w:
+            w = w[:-1]
+        if i and ls[i - 1][-1] in _HYPHENS:
+            w = w[1:]
+        out |= {(place(i, n), f) for f in w if forms is None or f in forms}
     return out
 
 
+class Words:
+    """Counts of the words of pages in lower case, broken words left out. Pieces between white space are
+    counted first, so that each is taken apart once and not wherever it stands."""
+
+    def __init__(self):
+        self.pieces: Counter = Counter()
+        self.off: Counter = Counter()
+        self.n: Counter = Counter()
+
+    def add(self, text: str, off: list[str]) -> None:
+        """A page and the words at its breaks."""
+        self.pieces.update(text.split())
+        self.off.update(off)
+        if len(self.pieces) > PIECES:
+            self.fold()
+
+    def fold(self) -> None:
+        for c, k in self.pieces.items():
+            for w in _TOKEN.findall(c.lower()):
+                self.n[w] += k
+        for w, k in self.off.items():
+            self.n[w] -= k
+        self.pieces.clear()
+        self.off.clear()
+
+    def take(self) -> dict[str, int]:
+        self.fold()
+        out = {w: k for w, k in self.n.items() if k}
+        self.n.clear()
+        return out
+
+
 def variants(word: str, errors: int = ERRORS) -> dict[str, int]:
     """Words from which this one may have been read, with the number of confusions."""
     out, now = {}, {word: 0}
@@ -164,21 +230,19 @@ class Scan:
         self.pages = pages.select(*self.PAGE, "text").filter("text is not null and text <> ''")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
+            words = Words()
 
             def flush() -> pa.RecordBatch:
-                k = len(words)
-                out = pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in types[:7]), pa.array(list(words), s), pa.array(list(words.values()), i)], names)
-                words.clear()
-                return out
+                w = words.take()
+                return pa.RecordBatch.from_arrays([*(pa.nulls(len(w), t) for t in types[:7]), pa.array(list(w), s), pa.array(list(w.values()), i)], names)
 
             for b in batches:
                 e_at, e_line, e_k, e_s, e_a, e_b, e_off = [], [], [], [], [], [], [0]
                 b_at, b_left, b_right, b_off = [], [], [], [0]
                 starts, plain = [], []
                 for o, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
-                    edges, breaks = scan_page(t)
-                    words.update(whole_words(t))
+                    edges, breaks, off = scan_page(lines(t))
+                    words.add(t, off)
                     easy = not breaks
                     for at, x in edges:
                         # 0 stands for no header form, 1 for a page number
@@ -191,7 +255,7 @@ class Scan:
                         e_s.append(_hash(f) if f else int(number))
                         e_a.append(_hash(a) if len(a) > 5 else 0)
                         e_b.append(_hash(c) if len(c) > 5 else 0)
-                        easy = easy and not number and x[-1] not in "-¬‐\xad" and "  " not in x
+                        easy = easy and not number and x[-1] not in _HYPHENS and "  " not in x
                     e_off.append(len(e_at))
                     for at, x, y in breaks:
                         b_at.append(at)
@@ -204,7 +268,7 @@ class Scan:
                 n = len(starts)
                 nest = lambda off, kind, *cols: pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind.value_type)], fields=list(kind.value_type)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], nest(e_off, types[3], e_at, e_line, e_k, e_s, e_a, e_b), nest(b_off, types[4], b_at, b_left, b_right), pa.array(starts, s), pa.array(plain, pa.bool_()), pa.nulls(n, s), pa.nulls(n, i)], names)
-                if len(words) > 200_000:
+                if len(words.n) > PIECES:
                     yield flush()
             yield flush()
 
@@ -230,31 +294,33 @@ class Scan:
         """(k, g): the line forms that run through their document, and those that are nearly one of them."""
         p = self.found.filter("edges is not null")
         e = p.select(self._G.alias("g"), "page_number", F.explode("edges").alias("x")).filter("x.k <> 0")
-        keys = materialise(e.select("g", "page_number", "x.k", "x.s").groupBy("k", "g").agg(F.countDistinct("page_number").alias("n"), F.min("s").alias("s")))
+        keys = materialise(e.select("g", "page_number", "x.k", "x.s", "x.a", "x.b").groupBy("k", "g").agg(F.countDistinct("page_number").alias("n"), *[F.min(c).alias(c) for c in "sab"]))
         sizes = p.select(self._G.alias("g"), "page_number").groupBy("g").agg(F.countDistinct("page_number").alias("pages"))
         # Forms of one document need no look at others; those of many are spread, a stamp may stand on every document.
         spread = keys.groupBy("s").agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 1).alias("running")).filter("docs > 1 and running > 0")
         spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         salted = keys.withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(SALT)).cast("int"))
-        several = salted.join(spread, ["s", "salt"]).select("k", "g", "n", "docs", "running")
-        alone = keys.filter("n > 1").join(spread.select("s", "salt").filter("salt = 0"), "s", "left_anti").select("k", "g", "n", F.lit(1).cast("long").alias("docs"), F.lit(1).cast("long").alias("running"))
+        several = salted.join(spread, ["s", "salt"]).select("k", "g", "n", "docs", "running", "a", "b")
+        alone = keys.filter("n > 1").join(spread.select("s", "salt").filter("salt = 0"), "s", "left_anti").select("k", "g", "n", F.lit(1).cast("long").alias("docs"), F.lit(1).cast("long").alias("running"), "a", "b")
         j = several.unionByName(alone).join(sizes, "g")
         # A line form of many documents (a stamp, say) is a header where it stands alone, too; one at the
         # edges of many documents that runs through few is a common sentence.
         runs = (F.col("n") > 1) & (F.col("n") >= RUNS * F.col("pages"))
         stamp = (F.col("running") >= 3) & (F.col("running") * 4 >= F.col("docs"))
         usual = (F.col("docs") >= 3) & (F.col("running") * 2 <= F.col("docs")) & (F.col("n") * 2 <= F.col("pages"))
-        sure = materialise(j.filter((runs | stamp) & ~usual).select("k", "g"))
+        sure = materialise(j.filter((runs | stamp) & ~usual).select("k", "g", "a", "b"))
         # Misread beyond the usual confusions: forms of the same document that share a half with a header.
-        half = F.explode(F.array_distinct(F.array("x.a", "x.b"))).alias("h")
-        text = F.regexp_replace(F.lower("x.line"), "[0-9 ]+", "")
-        lines_ = e.withColumn("k", F.col("x.k"))
-        heads = lines_.join(sure, ["k", "g"]).select("g", half, text.alias("head")).filter("h <> 0").distinct()
-        # Found by hashes first: the lines themselves are read for the few forms that share a half.
-        share = lines_.join(sure, ["k", "g"], "left_anti").select("k", "g", half).filter("h <> 0").join(heads.select("g", "h").distinct(), ["g", "h"], "left_semi").select("k", "g").distinct()
-        rest = lines_.join(materialise(share), ["k", "g"]).select("k", "g", half, text.alias("line")).filter("h <> 0")
+        half = F.explode(F.array_distinct(F.array("a", "b"))).alias("h")
+        starts = sure.select("g", half).filter("h <> 0").distinct()
+        # Found by hashes first: the lines themselves are read for the headers and the few forms that share a half.
+        share = keys.join(sure, ["k", "g"], "left_anti").select("k", "g", half).filter("h <> 0").join(starts, ["g", "h"], "left_semi").select("k", "g").distinct()
+        both = materialise(sure.select("k", "g", F.lit(True).alias("is_head")).unionByName(share.select("k", "g", F.lit(False).alias("is_head"))))
+        at = materialise(e.select("g", "x.k", "x.a", "x.b", "x.line").join(both, ["k", "g"]).select("k", "g", "is_head", "a", "b", "line").distinct())
+        text = F.regexp_replace(F.lower("line"), "[0-9 ]+", "")
+        heads = at.filter("is_head").select("g", "a", "b", text.alias("head")).distinct().select("g", half, "head").filter("h <> 0").distinct()
+        rest = at.filter("not is_head").select("k", "g", half, text.alias("line")).filter("h <> 0")
         near = rest.join(heads, ["g", "h"]).filter(F.levenshtein("line", "head", FUZZY).between(0, FUZZY) & (F.length("head") >= 8 * FUZZY)).select("k", "g")
-        return sure.unionByName(near).distinct()
+        return sure.select("k", "g").unionByName(near).distinct()
 
     def facts(self) -> DataFrame:
         """Per page, one row per fact: ``line`` (a header or page number), ``break`` (within the body),
@@ -270,27 +336,28 @@ class Scan:
             kinds = [i, i, s, s, i, s, pa.int32(), s, s]
             for b in batches:
                 rows = []
-                for g, pid_, before, o, d, n, edges, breaks, heads_ in zip(*(c.to_pylist() for c in b.columns)):
-                    kind = kinds_of(edges, set(heads_ or ()))
-                    rows += [(g, pid_, o, d, n, "line", e["at"], e["line"], kind[e["at"]]) for e in edges if kind[e["at"]]]
-                    body = [e for e in edges if not kind[e["at"]]]
-                    end = body[-1]["at"] if body else None
-                    rows += [(g, pid_, o, d, n, "break", x["at"], x["left"], x["right"]) for x in breaks if x["at"] == EDGE or x["at"] != end and not kind.get(x["at"])]
+                for g, pid_, before, o, d, n, at, ls, numbers, b_at, left, right, heads_ in zip(*(nested(c) if pa.types.is_list(c.type) else c.to_pylist() for c in b.columns)):
+                    kind = kinds_of(at, ls, numbers, heads_)
+                    rows += [(g, pid_, o, d, n, "line", i, x, kind[i]) for i, x in zip(at, ls) if kind[i]]
+                    body = [(i, x) for i, x in zip(at, ls) if not kind[i]]
+                    end = body[-1][0] if body else None
+                    rows += [(g, pid_, o, d, n, "break", i, x, y) for i, x, y in zip(b_at, left, right) if i == EDGE or i != end and not kind.get(i)]
                     if body:
-                        m = _BROKEN.search(body[-1]["line"])
+                        m = body[-1][1][-1] in _HYPHENS and _BROKEN.search(body[-1][1], body[-1][1].rfind(" ") + 1)
                         if m:
                             rows.append((g, pid_, o, d, n, "tail", end, m.group(1), None))
-                        q = _STARTS.match(body[0]["line"])
+                        q = _STARTS.match(body[0][1])
                         if q and n is not None:
                             rows.append((g, before, None, None, None, "start", None, q.group(1), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
 
         # A plain page (no number, break or wide space at its edges, no header) is all body: only its first word counts.
-        p = p.join(heads, ["g", "pid"], "left")
+        number = F.transform("edges", lambda x: (x.s == 1) & (x.k == 0))
+        p = p.select("g", "pid", "before", *self.PAGE, "edges.at", "edges.line", number.alias("number"), F.col("breaks.at").alias("b_at"), "breaks.left", "breaks.right", "start", "plain").join(heads, ["g", "pid"], "left")
         plain = F.col("plain") & F.col("heads").isNull()
         none = F.lit(None).cast("string")
         easy = p.filter(plain & F.col("start").isNotNull() & F.col("page_number").isNotNull()).select("g", F.col("before").alias("pid"), none.alias("origin"), none.alias("doc_sha256"), F.lit(None).cast("long").alias("page_number"), F.lit("start").alias("fact"), F.lit(None).cast("int").alias("at"), F.col("start").alias("a"), none.alias("b"))
-        rest = p.filter(~plain).select("g", "pid", "before", *self.PAGE, "edges", "breaks", "heads").mapInArrow(run, "g long, pid long, origin string, doc_sha256 string, page_number long, fact string, at int, a string, b string")
+        rest = p.filter(~plain).select("g", "pid", "before", *self.PAGE, "at", "line", "number", "b_at", "left", "right", "heads").mapInArrow(run, "g long, pid long, origin string, doc_sha256 string, page_number long, fact string, at int, a string, b string")
         return materialise(rest.unionByName(easy))
 
     def misread(self, extra: DataFrame | None = None) -> DataFrame:
@@ -378,8 +445,9 @@ class Scan:
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 get = sent.value
+                fine: set[str] = set()
                 for b in batches:
-                    rows = [(o, d, p, at, f, get[f]) for o, d, p, t in zip(*(c.to_pylist() for c in b.columns)) for at, f in page_words(t, get)]
+                    rows = [(o, d, p, at, f, get[f]) for o, d, p, t in zip(*(c.to_pylist() for c in b.columns)) for at, f in page_words(t, get, fine)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], ["origin", "doc_sha256", "page_number", "at", "form", "item"])
 
             s = pa.string()
@@ -433,18 +501,23 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - 2**63
 
 
-def kinds_of(edges: list[dict], heads: set[int]) -> dict[int, str | None]:
+def nested(lists: pa.ListArray) -> list[list]:
+    """The lists of a column, empty for null, much faster than by its own method."""
+    at, flat = lists.offsets.to_pylist(), lists.values.to_pylist()
+    return [flat[i:j] for i, j in zip(at, at[1:])]
+
+
+def kinds_of(at: list[int], ls: list[str], numbers: list[bool], heads: list[int]) -> dict[int, str | None]:
     """What each edge line is: header, pageno or None for the body. Headers and numbers stand outside
     the body: only such lines lie between them and the edge of the page."""
-    kind = {e["at"]: "pageno" if e["s"] == 1 and e["k"] == 0 else "header" if e["at"] in heads or is_paged(e["line"]) else None for e in edges}
-    order = [e["at"] for e in edges]
+    kind = {i: "pageno" if number else "header" if i in heads or is_paged(x) else None for i, x, number in zip(at, ls, numbers)}
     outside = set()
-    for side in (order, order[::-1]):
-        for at in side[:EDGE]:
-            if not kind[at]:
+    for side in (at, at[::-1]):
+        for i in side[:EDGE]:
+            if not kind[i]:
                 break
-            outside.add(at)
-    return {at: kind[at] if at in outside else None for at in order}
+            outside.add(i)
+    return {i: kind[i] if i in outside else None for i in at}
 
 
 def rebuild(text: str, off: list[int], joins: list[tuple[int, str, str, str]], fixes: dict[str, str], lead: str | None) -> str:
@@ -489,23 +562,3 @@ def _like(form: str, word: str | None) -> str:
     if word is None:
         return form
     return word.upper() if sum(c.isupper() for c in form) > 1 else word[0].upper() + word[1:] if form[0].isupper() else word
-
-
-def page_words(text: str, forms: dict | None) -> set[tuple[int, str]]:
-    """(place of the line, word) of the whole words of a page, of those in ``forms`` if given."""
-    here = set(whole_words(text))
-    if forms is not None:
-        here &= forms.keys()
-    out = set()
-    if not here:
-        return out
-    ls = lines(text)
-    n = len(ls)
-    for i, x in enumerate(ls):
-        w = _TOKEN.findall(x.lower())
-        if x[-1] in "-¬‐\xad" and w:
-            w = w[:-1]
-        if i and ls[i - 1][-1] in "-¬‐\xad":
-            w = w[1:]
-        out |= {(place(i, n), f) for f in w if f in here}
-    return out

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -110,3 +111,54 @@ def test_edges_of_three_lines_and_nearly_equal_headers(spark):
     want = {(n, "header", x) for n in range(1, 10) for x in (heads[0], heads[2], "Quiet Press Limited", "All rights reserved")} | {(n, "pageno", f"page {n}") for n in range(1, 10)}
     want |= {(n, "header", "Tides and their Baxkns" if n == 5 else heads[1]) for n in range(1, 9)}
     assert found == want
+
+
+class Taken:
+    """A pattern that notes what it is applied to."""
+
+    def __init__(self, pattern):
+        self.pattern, self.to = pattern, []
+
+    def findall(self, text):
+        self.to.append(text)
+        return self.pattern.findall(text)
+
+    def search(self, *args):
+        return self.pattern.search(*args)
+
+
+def test_repeated_text_is_taken_apart_once(monkeypatch):
+    monkeypatch.setattr(scans, "_TOKEN", taken := Taken(scans._TOKEN))
+    text = "\n".join(["The flow, the (old) well-known flow."] * 9)
+    words, fine = scans.Words(), set()
+    for _ in range(50):
+        words.add(text, [])
+        assert scans.page_words(text, {"fl0w": "flow"}, fine) == set()
+    assert words.take() == {"the": 900, "flow": 900, "old": 450, "well-known": 450}
+    assert len(taken.to) == 2 * len(set(text.split()))
+
+
+def test_words_are_counted_as_line_by_line(monkeypatch):
+    monkeypatch.setattr(scans, "PIECES", 50)
+    r = random.Random(5)
+    parts = ["ab", "cd-e", "Fσ", "ΑΣ", "_x", "7", "¬", "-", "- ", ", ", " ", " ", "\u00a0", "\u00ad", "\n", "\r\n", "-\n", "‐\u00a0\n", "\x85", "-\x1c", "(", "."]
+    words, want, forms, fine = scans.Words(), Counter(), {"ab": "x", "fσ": "y"}, set()
+    for _ in range(3000):
+        text = "".join(r.choices(parts, k=r.randint(1, 30)))
+        ls, broken, at = scans.lines(text), False, set()
+        for i, x in enumerate(ls):
+            w = scans._TOKEN.findall(x.lower())
+            first, broken = int(broken), x[-1] in "-¬‐\xad"
+            w = w[first : len(w) - broken]
+            want.update(w)
+            at |= {(scans.place(i, len(ls)), f) for f in w}
+        words.add(text, scans.scan_page(ls)[2])
+        assert scans.page_words(text, None) == at
+        assert scans.page_words(text, forms, fine) == {(i, f) for i, f in at if f in forms}
+    assert words.take() == want
+
+
+def test_broken_words_before_odd_white_space_are_no_words(spark):
+    rows = [("x", "d", 1, "The old detec-\u00a0\ntor holds.\nThe end."), ("x", "d", 2, "A sen-\x1csor, too.")]
+    got = scans.Scan(spark.createDataFrame(rows, "origin string, doc_sha256 string, page_number long, text string")).words()
+    assert {r.word: r.n for r in got.collect()} == {"the": 2, "old": 1, "holds": 1, "end": 1, "a": 1, "too": 1}
